@@ -403,3 +403,5 @@ DOMAIN: dict[str, Query] = {
     **CLEAN, **CUSTOMER_MONTH, **COHORT, **CLV, **LEAKAGE, **CHURN, **LIFECYCLE, **VALIDATION, **SAVE, **ROI,
     **AB, **CHECKS, **BI,
 }
+
+QUERIES: dict[str, Query] = {**DOMAIN}
