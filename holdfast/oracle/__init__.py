@@ -6,14 +6,9 @@ from holdfast.oracle.compose import compose
 
 
 def _parts():
-    from holdfast.oracle import base, descriptive
+    from holdfast.oracle import base, decisions, descriptive, primitives
 
-    modules = [descriptive]
-    try:
-        from holdfast.oracle import decisions
-        modules.append(decisions)
-    except ImportError:
-        pass
+    modules = (descriptive, decisions, primitives)
     ctes = dict(base.CTES)
     for m in modules:
         ctes.update(m.CTES)
@@ -29,9 +24,9 @@ def _shape(name: str, kind: str) -> str:
     c = f'"{name}"'
     if kind.startswith("DECIMAL") or kind in ("DOUBLE", "FLOAT"):
         x = f"{c}::DOUBLE"
-        return (f"CASE WHEN abs({x}) >= 1e6 THEN round({x} + 1e-3::DOUBLE, 0) "
-                f"WHEN abs({x}) >= 1e3 THEN round({x} + 1e-5::DOUBLE, 2) "
-                f"ELSE round({x} + 1e-9::DOUBLE, 6) END AS {c}")
+        return (f"CASE WHEN abs({x}) >= 1e6 THEN round({x} + 1.37e-3::DOUBLE, 0) "
+                f"WHEN abs({x}) >= 1e3 THEN round({x} + 1.37e-5::DOUBLE, 2) "
+                f"ELSE round({x} + 1.37e-9::DOUBLE, 6) END AS {c}")
     if kind.endswith(("INT", "INTEGER")):
         return f"{c}::BIGINT AS {c}"
     return c

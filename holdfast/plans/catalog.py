@@ -13,6 +13,7 @@ from holdfast.operators import (
     save, training, validation,
 )
 from holdfast.plans.engine import RetentionEngine
+from holdfast.plans.primitives import PRIMITIVES
 
 Query = Callable[[RetentionEngine], DataFrame]
 
@@ -20,8 +21,9 @@ Query = Callable[[RetentionEngine], DataFrame]
 def comparable(df: DataFrame) -> DataFrame:
     """Result form for comparison with another SQL engine.
 
-    Whole numbers become bigint.  Doubles are rounded by size, half-way values always up, because
-    the last bits of a sum depend on the order in which tasks finish.
+    Whole numbers become bigint.  Doubles are rounded by size, because the last bits of a sum depend
+    on the order in which tasks finish.  The small shift moves the rounding border off the values
+    that sums of prices can take, so half-way values go up in every engine.
     """
     def shape(field: T.StructField) -> Column:
         c = F.col(f"`{field.name}`")
@@ -37,9 +39,9 @@ def comparable(df: DataFrame) -> DataFrame:
 def stable_double(c: Column) -> Column:
     size = F.abs(c)
     return (
-        F.when(size >= 1e6, F.round(c + F.lit(1e-3), 0))
-        .when(size >= 1e3, F.round(c + F.lit(1e-5), 2))
-        .otherwise(F.round(c + F.lit(1e-9), 6))
+        F.when(size >= 1e6, F.round(c + F.lit(1.37e-3), 0))
+        .when(size >= 1e3, F.round(c + F.lit(1.37e-5), 2))
+        .otherwise(F.round(c + F.lit(1.37e-9), 6))
     )
 
 
@@ -404,4 +406,4 @@ DOMAIN: dict[str, Query] = {
     **AB, **CHECKS, **BI,
 }
 
-QUERIES: dict[str, Query] = {**DOMAIN}
+QUERIES: dict[str, Query] = {**DOMAIN, **PRIMITIVES}
