@@ -32,12 +32,12 @@ def keep_labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
 def clean_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per labelled customer: the latest registration, ties broken by every column.
 
-    ``max`` over a struct keeps map-side combining, so a customer repeated in a third of all rows
-    never lands in one task.
+    Reduced before the join: ``max`` over a struct combines map-side, so a customer repeated in a
+    third of all rows never lands in one task, and the join meets one row per customer.
     """
     age = F.col("bd").try_cast("double")
-    row = keep_labelled(members, labels).select(
-        "customer_id",
+    row = members.select(
+        F.col("customer_id").cast("string").alias("customer_id"),
         F.struct(
             parse_yyyymmdd("registration_init_time").alias("registration_date"),
             F.coalesce(F.col("city").cast("int"), F.lit(0)).alias("city"),
@@ -47,7 +47,7 @@ def clean_members(members: DataFrame, labels: DataFrame) -> DataFrame:
         ).alias("row"),
     )
     last = row.groupBy("customer_id").agg(F.max("row").alias("row"))
-    return last.select(
+    return keep_labelled(last, labels).select(
         "customer_id", "row.city", "row.age", "row.gender", "row.registered_via", "row.registration_date"
     )
 
@@ -80,23 +80,26 @@ def clean_transactions(transactions: DataFrame, labels: DataFrame) -> DataFrame:
 def monthly_activity(user_logs: DataFrame, labels: DataFrame) -> DataFrame:
     """Customer x month activity; distinct days are exact over the whole month.
 
-    A first aggregate per customer and day removes repeated days with map-side combining, so the
-    distinct count needs no wide expansion and a customer with very many log rows is combined
-    before the shuffle.
+    The first aggregate, per customer and day, combines map-side and removes repeated days, so the
+    distinct count needs no expansion.  Filtering to labelled customers comes last, on rows that
+    the calendar bounds: filtering the raw log first would send all rows of a very busy customer
+    to the task of that customer.
     """
-    kept = keep_labelled(user_logs, labels).select(
-        "customer_id",
+    typed = user_logs.select(
+        F.col("customer_id").cast("string").alias("customer_id"),
         "date",
         month_text(parse_yyyymmdd("date")).alias("activity_month"),
         *(number_or_zero(c, "bigint").alias(c) for c in LOG_COUNTS),
         number_or_zero("total_secs").alias("total_secs"),
     )
     sums = [F.sum(c).alias(c) for c in (*LOG_COUNTS, "total_secs")]
-    daily = kept.groupBy("customer_id", "activity_month", "date").agg(*sums)
+    daily = typed.groupBy("customer_id", "activity_month", "date").agg(*sums)
     monthly = daily.groupBy("customer_id", "activity_month").agg(
         F.count("date").alias("active_days"), *sums
     )
-    return monthly.withColumn("total_plays", sum((F.col(c) for c in PLAY_BANDS), F.lit(0)))
+    return keep_labelled(monthly, labels).withColumn(
+        "total_plays", sum((F.col(c) for c in PLAY_BANDS), F.lit(0))
+    )
 
 
 def completion_rate_proxy() -> Column:

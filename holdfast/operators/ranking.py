@@ -11,9 +11,12 @@ and turned into literal comparisons, so the wide table is bucketed in place, wit
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -38,19 +41,32 @@ class Key:
 
 @dataclass(frozen=True)
 class NumberedRows:
+    """``frame`` carries the rank; ``frozen`` is the written layout, ``starts`` the rank before the
+    first row of each range partition."""
+
     frame: DataFrame
+    frozen: DataFrame
     order: tuple[Key, ...]
     rows: int
     totals: dict[str, float]
+    starts: tuple[tuple[int, int], ...]
 
     def rows_at(self, ranks: Sequence[int]) -> dict[int, Row]:
-        """The few rows standing at the given ranks (bounded by ``len(ranks)``)."""
-        wanted = sorted({r for r in ranks if 1 <= r <= self.rows})
-        if not wanted:
+        """The few rows standing at the given ranks (bounded by ``len(ranks)``).
+
+        A rank is first turned into (partition, position), which the file reader can prune on.
+        """
+        firsts = [before for _, before in self.starts]
+        places = {}
+        for rank in {r for r in ranks if 1 <= r <= self.rows}:
+            part, before = self.starts[bisect.bisect_left(firsts, rank) - 1]
+            places[part, rank - before] = rank
+        if not places:
             return {}
+        wanted = [(F.col("_part") == part) & (F.col("_pos") == pos) for part, pos in places]
         names = [k.name for k in self.order]
-        found = self.frame.filter(F.col(ROW_NO).isin(wanted)).select(ROW_NO, *names).collect()
-        return {row[ROW_NO]: row for row in found}
+        found = self.frozen.filter(reduce(or_, wanted)).select("_part", "_pos", *names).collect()
+        return {places[row["_part"], row["_pos"]]: row for row in found}
 
     def bucket(self, upper_ranks: Sequence[int]) -> Column:
         """1-based bucket of a row: the first bucket whose last row does not precede it.
@@ -118,7 +134,8 @@ def number_rows(store: TableStore, name: str, df: DataFrame, order: Sequence[Key
             for out, c in running.items()
         })
     frame = frame.select(*df.columns, ROW_NO, *running)
-    return NumberedRows(frame, tuple(order), rows, totals)
+    starts = tuple((part, start) for part, start, *_ in before)
+    return NumberedRows(frame, frozen, tuple(order), rows, totals, starts)
 
 
 def ntile_edges(rows: int, buckets: int) -> list[int]:

@@ -7,6 +7,7 @@ reader, and survives the loss of any executor.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -32,6 +33,7 @@ class TableStore:
         self.spark = spark
         base = root or shared_folder(spark)
         self.root = f"{base}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
+        self._writes = itertools.count()
         self._drop_when_session_ends()
 
     def _drop_when_session_ends(self) -> None:
@@ -43,6 +45,7 @@ class TableStore:
         files.deleteOnExit(path)
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        # A fresh folder each time: a frame read from an earlier write stays valid.
+        path = f"{self.root}/{name}-{next(self._writes)}"
+        df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
