@@ -92,10 +92,16 @@ def monthly_activity(user_logs: DataFrame, labels: DataFrame) -> DataFrame:
         *(number_or_zero(c, "bigint").alias(c) for c in LOG_COUNTS),
         number_or_zero("total_secs").alias("total_secs"),
     )
-    sums = [F.sum(c).alias(c) for c in (*LOG_COUNTS, "total_secs")]
-    daily = typed.groupBy("customer_id", "activity_month", "date").agg(*sums)
+    daily = typed.groupBy("customer_id", "activity_month", "date").agg(
+        *(F.sum(c).alias(c) for c in (*LOG_COUNTS, "total_secs"))
+    )
+    return monthly_from_daily(daily, labels)
+
+
+def monthly_from_daily(daily: DataFrame, labels: DataFrame) -> DataFrame:
+    """Months of labelled customers from one row per customer and day."""
     monthly = daily.groupBy("customer_id", "activity_month").agg(
-        F.count("date").alias("active_days"), *sums
+        F.count("date").alias("active_days"), *(F.sum(c).alias(c) for c in (*LOG_COUNTS, "total_secs"))
     )
     return keep_labelled(monthly, labels).withColumn(
         "total_plays", sum((F.col(c) for c in PLAY_BANDS), F.lit(0))
