@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from holdfast import config as k
 from holdfast.config import Profile
 from holdfast.functions.columns import clip, first_match, mean, summarise, total
 from holdfast.operators.ranking import Key, ntile_edges, number_rows
-from holdfast.plans.store import TableStore
+from holdfast.plans.store import TableStore, run_together
 
 SEGMENT = ["lifecycle_stage", "engagement_tier", "revenue_tier", "clv_value_tier"]
 FULL_SEGMENT = [*SEGMENT, "value_based_action_group", "retention_budget_tier"]
@@ -54,10 +56,10 @@ def value_deciles(store: TableStore, baselines: DataFrame) -> DataFrame:
         )
         return ranked.bucket(ntile_edges(ranked.rows, 10))
 
-    return baselines.withColumns({
-        "monthly_value_decile": decile("monthly_value_baseline"),
-        "engagement_decile": decile("engagement_value_baseline"),
-    })
+    value, engagement = run_together([
+        partial(decile, "monthly_value_baseline"), partial(decile, "engagement_value_baseline")
+    ])
+    return baselines.withColumns({"monthly_value_decile": value, "engagement_decile": engagement})
 
 
 def expected_active_months(p: Profile) -> Column:

@@ -10,6 +10,7 @@ from holdfast.config import Profile
 from holdfast.functions.columns import (
     first_match, lookup, mean, positive_ratio, ratio, summarise, total, total_where,
 )
+from holdfast.functions.literals import literal_rows
 from holdfast.operators.clv import FULL_SEGMENT
 from holdfast.operators.ranking import (
     Key, NumberedRows, ntile_edges, number_rows, running_bands, share_edges,
@@ -211,8 +212,8 @@ def recoverable_scenarios(clv: DataFrame) -> DataFrame:
         "premium_plus_moderate": budget.isin(k.PREMIUM_BUDGET, k.MODERATE_BUDGET),
     }
     sums = clv.agg(*(total_where(cond, LOST).alias(name) for name, cond in pools.items()))
-    scenarios = clv.sparkSession.createDataFrame(
-        list(k.RECOVERY_SCENARIOS), "scenario_name string, recovery_rate double"
+    scenarios = literal_rows(
+        clv.sparkSession, k.RECOVERY_SCENARIOS, "scenario_name string, recovery_rate double"
     )
     # One aggregated row times three scenarios.
     crossed = sums.crossJoin(F.broadcast(scenarios))
@@ -229,7 +230,8 @@ def budget_opportunity(clv: DataFrame, p: Profile) -> DataFrame:
         "avg_engagement_score": mean("engagement_score"),
         "cancellation_signal_rate": mean("cancellation_signal"),
     })
-    plan = clv.sparkSession.createDataFrame(
+    plan = literal_rows(
+        clv.sparkSession,
         [(b.tier, b.cost_per_customer, b.recovery_rate) for b in p.budget_tiers],
         "retention_budget_tier string, campaign_cost_per_customer double, expected_recovery_rate double",
     )

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions.columns import first_match
+from holdfast.functions.literals import literal_rows
 from holdfast.plans.store import TableStore
 
 ROW_NO = "row_no"
@@ -121,7 +122,7 @@ def number_rows(store: TableStore, name: str, df: DataFrame, order: Sequence[Key
         for out in running:
             totals[out] += part[f"_sum_{out}"] or 0.0
     fields = ["_part bigint", "_before bigint", *(f"_before_{out} double" for out in running)]
-    offsets = store.spark.createDataFrame(before, ", ".join(fields))
+    offsets = literal_rows(store.spark, before, ", ".join(fields))
 
     # One offset row per range partition, so its size is bounded by the partition count.
     frame = frozen.join(F.broadcast(offsets), "_part").withColumn(
@@ -191,7 +192,7 @@ def running_bands(df: DataFrame, band: Column, dims: Sequence[tuple], dim_schema
     )
     rows = [(i, *dim) for i, dim in enumerate(dims, start=1)]
     rows.append((len(dims) + 1, *(None for _ in dims[0])))
-    frame = df.sparkSession.createDataFrame(rows, f"_band int, {dim_schema}")
+    frame = literal_rows(df.sparkSession, rows, f"_band int, {dim_schema}")
     names = [c for c in frame.columns if c != "_band"]
     # A row per band: the windows below run over that many rows.
     bands = frame.join(cells, "_band", "left").fillna(0.0, list(sums))

@@ -42,14 +42,23 @@ REQUIRED = (
 
 def load_and_clip(scored: DataFrame, lifecycle: DataFrame) -> DataFrame:
     """Scores with the lifecycle labels; both tables have one row per customer."""
-    require_columns(scored, REQUIRED, "save-worthiness")
     extra = lifecycle.select(
         "customer_id", "lifecycle_duration_months", "observed_active_months", "observed_month_coverage_rate",
         "value_risk_quadrant", "lifecycle_strategy_readout",
     )
+    return clip_inputs(scored.join(extra, "customer_id", "left"))
+
+
+def from_lifecycle(lifecycle: DataFrame) -> DataFrame:
+    """The same rows from the lifecycle table alone, which already carries the score columns: no join."""
+    return clip_inputs(lifecycle.withColumnRenamed("churn_event", "actual_future_churn_label"))
+
+
+def clip_inputs(df: DataFrame) -> DataFrame:
+    require_columns(df, REQUIRED, "save-worthiness")
     amounts = ("monthly_value_baseline", "monthly_margin_baseline", "annual_revenue_run_rate_proxy",
                "annual_margin_run_rate_proxy", LOST)
-    return scored.join(extra, "customer_id", "left").withColumns({
+    return df.withColumns({
         **{c: number_or_zero(c) for c in amounts},
         P: clip(number_or_zero(P), 0.0, 1.0),
         CLV: clip(number_or_zero(CLV), 0.0),
@@ -169,10 +178,9 @@ def final_targeting_readout() -> Column:
     ], "Monitor until ROI simulation")
 
 
-def customer_save_worthiness_scores(store: TableStore, scored: DataFrame, lifecycle: DataFrame,
-                                    p: Profile) -> DataFrame:
-    # Ranked twice-read input is frozen first: eligible and other rows come from the same table.
-    decided = store.write("save_decided", decide(load_and_clip(scored, lifecycle), p))
+def customer_save_worthiness_scores(store: TableStore, inputs: DataFrame, p: Profile) -> DataFrame:
+    # Written first: the ranking reads the eligible rows and the other rows from the same table.
+    decided = store.write("save_decided", decide(inputs, p))
     ranked = rank_offers(store, decided).withColumn("save_priority_tier", save_priority_tier())
     return ranked.withColumn("final_targeting_readout", final_targeting_readout()).select(
         *OUTPUT_COLUMNS, *HELPER_COLUMNS

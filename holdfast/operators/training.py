@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from holdfast.config import ModelSettings
 from holdfast.functions.columns import hash_to_unit
+from holdfast.functions.literals import literal_rows
 from holdfast.operators.churn_data import (
     CANCELLATION_FEATURES, CATEGORICAL_FEATURES, NUMERIC_FEATURES, TARGET,
 )
@@ -122,7 +123,8 @@ def permutation_importance(model: PipelineModel, c: Candidate, sample: DataFrame
     prepared = PipelineModel(preparation).transform(sample)
     base = prepared.select("customer_id", TARGET, vector_to_array(vector).alias("x"))
 
-    pairs = sample.sparkSession.createDataFrame(
+    pairs = literal_rows(
+        sample.sparkSession,
         [(i, f, r) for i, f in enumerate(c.features) for r in range(s.importance_repeats)],
         "i int, feature string, repeat int",
     )

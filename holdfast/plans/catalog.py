@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from holdfast.functions.literals import literal_rows
 from holdfast.operators import (
     abtest, checks, churn_data, clean, clv, cohort, customer_month, evaluate, leakage, lifecycle, roi,
     save, training, validation,
@@ -316,7 +317,8 @@ def _membership(e: RetentionEngine) -> DataFrame:
     """Customers per targeting strategy, empty strategies included."""
     listed = roi.strategies(e.p)
     cells = roi.strategy_cells(e.table("saves"), [(name, cond) for name, _, _, cond in listed])
-    names = e.spark.createDataFrame(
+    names = literal_rows(
+        e.spark,
         [(name, kind, readout) for name, kind, readout, _ in listed],
         "strategy_name string, strategy_type string, strategy_readout string",
     )

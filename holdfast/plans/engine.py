@@ -7,7 +7,8 @@ their reader.
 
 from __future__ import annotations
 
-from functools import cached_property
+from collections.abc import Callable
+from functools import cached_property, partial
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from holdfast.operators import (
     roi, save, training, validation,
 )
 from holdfast.operators.ranking import NumberedRows
-from holdfast.plans.store import TableStore
+from holdfast.plans.store import TableStore, run_together
 from holdfast.sources.raw import RawTables
 
 SCORECARD = "planning_scorecard"
@@ -39,6 +40,8 @@ class RetentionEngine:
         self.store = store or TableStore(spark)
         self.score_source = score_source
         self._written: dict[str, DataFrame] = {}
+        self._ranks: dict[str, NumberedRows] = {}
+        self._models: dict[str, PipelineModel] = {}
 
     def table(self, name: str) -> DataFrame:
         """The named table, written on first use."""
@@ -46,6 +49,10 @@ class RetentionEngine:
             self._written[name] = self.store.write(name, getattr(self, name))
         return self._written[name]
 
+    def write_together(self, *names: str) -> None:
+        """Writes independent tables at the same time, so that one job's tail overlaps the next."""
+        run_together([partial(self.table, n) for n in names if n not in self._written])
+
     # --- Clean ------------------------------------------------------------------------------
 
     @cached_property
@@ -78,6 +85,8 @@ class RetentionEngine:
 
     @cached_property
     def customer_month_base(self) -> DataFrame:
+        self.table("labels")
+        self.write_together("transactions", "logs_monthly", "members")
         return customer_month.customer_month_base(
             self.transaction_monthly, self.table("logs_monthly"), self.table("members"), self.table("labels")
         )
@@ -203,20 +212,22 @@ class RetentionEngine:
         return self._rank(name, self.split.withColumn(evaluate.P, churn_data.planning_score(use_cancellation)))
 
     def _rank(self, name: str, scored: DataFrame) -> NumberedRows:
-        cache = self.__dict__.setdefault("_ranks", {})
-        if name not in cache:
-            test = scored.filter("in_test").withColumn("actual_churn", F.col(churn_data.TARGET))
-            cache[name] = evaluate.rank_scores(self.store, name, test)
-        return cache[name]
+        test = scored.filter("in_test").withColumn("actual_churn", F.col(churn_data.TARGET))
+        return self.numbered(name, lambda: evaluate.rank_scores(self.store, name, test))
+
+    def numbered(self, name: str, build: Callable[[], NumberedRows]) -> NumberedRows:
+        """A numbered frame, built on first use."""
+        if name not in self._ranks:
+            self._ranks[name] = build()
+        return self._ranks[name]
 
     def candidate(self, name: str) -> training.Candidate:
         return next(c for c in training.CANDIDATES if c.name == name)
 
     def model(self, name: str) -> PipelineModel:
-        cache = self.__dict__.setdefault("_models", {})
-        if name not in cache:
-            cache[name] = training.train(self.candidate(name), self.table("model_frame"), self.p.model)
-        return cache[name]
+        if name not in self._models:
+            self._models[name] = training.train(self.candidate(name), self.table("model_frame"), self.p.model)
+        return self._models[name]
 
     def model_scores(self, name: str) -> DataFrame:
         return training.score(self.model(name), self.table("model_frame"))
@@ -230,6 +241,9 @@ class RetentionEngine:
 
     @cached_property
     def trained_comparison(self) -> DataFrame:
+        self.table("model_frame")
+        run_together([partial(self.model, c.name) for c in training.CANDIDATES])
+        run_together([partial(self.model_rank, c.name) for c in training.CANDIDATES])
         return evaluate.model_comparison([self.model_row(c.name) for c in training.CANDIDATES])
 
     @cached_property
@@ -249,6 +263,8 @@ class RetentionEngine:
 
     @cached_property
     def scorecard_comparison(self) -> DataFrame:
+        self.split
+        run_together([partial(self.scorecard_rank, True), partial(self.scorecard_rank, False)])
         return evaluate.model_comparison([
             evaluate.model_row(self.scorecard_rank(True), SCORECARD, SCORECARD_NOTE, True, 5),
             evaluate.model_row(self.scorecard_rank(False), SCORECARD_NO_CANCEL, SCORECARD_NO_CANCEL_NOTE, False, 4),
@@ -367,7 +383,7 @@ class RetentionEngine:
     @cached_property
     def saves(self) -> DataFrame:
         return save.customer_save_worthiness_scores(
-            self.store, self.table("scored"), self.table("lifecycle"), self.p
+            self.store, save.from_lifecycle(self.table("lifecycle")), self.p
         )
 
     @cached_property

@@ -115,15 +115,12 @@ def named_table(e: RetentionEngine) -> DataFrame:
 
 def _numbered_months(e: RetentionEngine):
     """All customer months by revenue: one third and more share the value zero."""
-    cache = e.__dict__.setdefault("_numbered", {})
-    if "months" not in cache:
-        months = e.table("customer_month").select("customer_id", "snapshot_month", "monthly_revenue", "active_days")
-        cache["months"] = number_rows(
-            e.store, "months", months,
-            [Key("active_days", True), Key("monthly_revenue", True), Key("customer_id"), Key("snapshot_month")],
-            running={"revenue_so_far": "monthly_revenue"},
-        )
-    return cache["months"]
+    return e.numbered("months", lambda: number_rows(
+        e.store, "months",
+        e.table("customer_month").select("customer_id", "snapshot_month", "monthly_revenue", "active_days"),
+        [Key("active_days", True), Key("monthly_revenue", True), Key("customer_id"), Key("snapshot_month")],
+        running={"revenue_so_far": "monthly_revenue"},
+    ))
 
 
 def ntile_global(e: RetentionEngine) -> DataFrame:

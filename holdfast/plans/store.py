@@ -10,6 +10,8 @@ from __future__ import annotations
 import itertools
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,14 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="holdfast-")
 
 
+def run_together(actions: Sequence[Callable[[], object]]) -> list:
+    """Runs independent Spark actions from driver threads; results keep the order."""
+    if len(actions) < 2:
+        return [action() for action in actions]
+    with ThreadPoolExecutor(len(actions)) as pool:
+        return [f.result() for f in [pool.submit(action) for action in actions]]
+
+
 class TableStore:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
