@@ -49,8 +49,11 @@ def combine_status(reports: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def _duplicates(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    return df.groupBy(*keys).count().agg(F.count_if(F.col("count") > 1).alias(name))
+def _grain(df: DataFrame, keys: list[str], groups: str, repeated: str) -> DataFrame:
+    """Distinct keys and repeated keys from one shuffle of the keys."""
+    return df.groupBy(*keys).count().agg(
+        F.count("*").alias(groups), F.count_if(F.col("count") > 1).alias(repeated)
+    )
 
 
 def _cross(*one_rows: DataFrame) -> DataFrame:
@@ -78,14 +81,14 @@ def check_customer_month(customer_month: DataFrame, snapshot: DataFrame) -> Data
     )
     customers = snapshot.agg(
         F.count("*").alias("customers"),
-        F.count_distinct("customer_id").alias("users"),
         F.count_if(F.col("churn_next_period").isNull()).alias("no_label"),
         F.avg("churn_next_period").alias("churn"),
         F.count_if(F.col("snapshot_month") == k.NO_MONTH).alias("unobserved"),
     )
     facts = _cross(
-        months, customers, _duplicates(customer_month, ["customer_id", "snapshot_month"], "dup_months"),
-        _duplicates(snapshot, ["customer_id"], "dup_customers"),
+        months, customers,
+        _grain(customer_month, ["customer_id", "snapshot_month"], "distinct_months", "dup_months"),
+        _grain(snapshot, ["customer_id"], "users", "dup_customers"),
     )
     c = F.col
     return report(facts, [
@@ -123,12 +126,11 @@ def check_clv(clv: DataFrame, p: Profile) -> DataFrame:
     months = c("expected_active_months_proxy")
     facts = _cross(clv.agg(
         F.count("*").alias("customers"),
-        F.count_distinct("customer_id").alias("users"),
         F.count_if(c(CLV).isNull()).alias("no_clv"),
         F.count_if((c(CLV) < 0) | (c("monthly_value_baseline") < 0) | (c("monthly_margin_baseline") < 0)).alias("negative"),
         F.count_if(missing).alias("no_tier"),
         F.count_if((months < 1) | (months > p.clv.max_months)).alias("out_of_bounds"),
-    ), _duplicates(clv, ["customer_id"], "duplicates"))
+    ), _grain(clv, ["customer_id"], "users", "duplicates"))
     return report(facts, [
         ("clv_table_not_empty", c("customers"), c("customers") > 0, "Customer CLV table should contain rows."),
         ("one_row_per_customer", _pair("rows", "customers", "unique_users", "users"),

@@ -138,9 +138,8 @@ def with_value_tiers(df: DataFrame) -> DataFrame:
     })
 
 
-def customer_clv_scores(store: TableStore, snapshot: DataFrame, p: Profile) -> DataFrame:
-    ranked = value_deciles(store, value_baselines(snapshot))
-    return with_value_tiers(with_clv(ranked, p)).select(*OUTPUT_COLUMNS)
+def customer_clv_scores(deciled: DataFrame, p: Profile) -> DataFrame:
+    return with_value_tiers(with_clv(deciled, p)).select(*OUTPUT_COLUMNS)
 
 
 # --- Summaries ----------------------------------------------------------------------------

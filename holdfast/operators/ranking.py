@@ -31,7 +31,7 @@ _POSITION_BITS = 33
 
 @dataclass(frozen=True)
 class Key:
-    """One order column; every order is completed by the id, ascending unless stated."""
+    """One order column without nulls; every order is completed by the id, ascending unless stated."""
 
     name: str
     descending: bool = False

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from holdfast.oracle.compose import compose
 
 
@@ -44,6 +46,7 @@ TABLES = {
 }
 
 
+@cache
 def comparable_sql() -> dict[str, str]:
     """The queries in the result form of ``catalog.comparable``: bigint whole numbers and doubles
     rounded by size.  Column types come from binding each query against empty tables."""

@@ -34,10 +34,6 @@ STAGE = when(
     k.LIFECYCLE_STAGES[3])
 
 
-def decimal_free(values, wrap=lambda v: v):
-    return ", ".join(wrap(v) for v in values)
-
-
 PAYMENTS = ("transaction_count", "monthly_revenue", "monthly_list_price", "monthly_discount_amount",
             "avg_plan_days", "max_plan_days", "avg_paid_per_day", "is_auto_renew", "had_cancel", "had_discount")
 ACTIVITY = ("active_days", "num_25", "num_50", "num_75", "num_985", "num_100", "num_unq", "total_secs",

@@ -140,7 +140,7 @@ class RetentionEngine:
 
     @cached_property
     def clv(self) -> DataFrame:
-        return clv.with_value_tiers(clv.with_clv(self.value_deciles, self.p)).select(*clv.OUTPUT_COLUMNS)
+        return clv.customer_clv_scores(self.value_deciles, self.p)
 
     @cached_property
     def clv_portfolio(self) -> DataFrame:

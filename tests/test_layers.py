@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from holdfast import config as k
 from holdfast.config import REFERENCE
 from holdfast.operators import abtest, clean, customer_month, evaluate, lifecycle, roi, save
-from holdfast.operators.ranking import Key, number_rows
 from holdfast.sources import raw
 
 

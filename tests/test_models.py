@@ -7,7 +7,6 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from holdfast.config import FIXTURE
 from holdfast.operators import checks, churn_data, training, validation
 from holdfast.plans.engine import RetentionEngine
