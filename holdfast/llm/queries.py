@@ -6,18 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import bpe
-from holdfast.llm.tables import read, tokenizer_file
+from holdfast.llm import bpe, dac, grace, shards
+from holdfast.llm.tables import read, store_of, tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op3_directly_addressable_codes": lambda spark, sf_dir: dac.op3_directly_addressable_codes(
+        store_of(spark), read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")
+    ),
     "op4_bpe_encode_decode": lambda spark, sf_dir: bpe.op4_bpe_encode_decode(
         read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")
     ),
+    "op6_virtual_slots": lambda spark, sf_dir: shards.op6_virtual_slots(
+        store_of(spark), read(spark, sf_dir, "documents")
+    ),
     "op8_token_counts": lambda spark, sf_dir: bpe.op8_token_counts(
         read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")
     ),
+    "op10_exact_dedup": lambda spark, sf_dir: grace.op10_exact_dedup(
+        store_of(spark), read(spark, sf_dir, "documents")
+    ),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_exact_dedup": grace.OP10_SQL}
