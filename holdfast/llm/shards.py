@@ -14,6 +14,7 @@ slot and get positions of their own.  An empty table gives no rows, and its map
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -61,13 +62,13 @@ def first_map(sizes: Mapping[int, int], shards: int, slots: int = SLOTS) -> Slot
 def rebalance(current: SlotMap, sizes: Mapping[int, int], shards: int | None = None, slack: float = 0.02) -> SlotMap:
     """The next version of the map: slots leave dropped and overfull shards until none exceeds the mean by ``slack``.
 
-    A move takes the largest slot that still fits below the limit, so few slots move; slots without
+    An overfull shard gives up its largest slots down to the mean, so few slots move; slots without
     bytes stay where they are.
     """
     shards = shards or current.shards
     shard_of = list(current.shard_of)
     total = sum(sizes.get(s, 0) for s in range(len(shard_of)))
-    limit = total / shards * (1 + slack)
+    mean = total / shards
     loads = [0] * shards
     homeless = []
     held: list[list[int]] = [[] for _ in range(shards)]
@@ -78,11 +79,13 @@ def rebalance(current: SlotMap, sizes: Mapping[int, int], shards: int | None = N
         else:
             homeless.append(slot)
     for shard in range(shards):
+        if loads[shard] <= mean * (1 + slack):
+            continue
         for slot in sorted(held[shard], key=lambda s: (-sizes.get(s, 0), s)):
             size = sizes.get(slot, 0)
-            if loads[shard] <= limit or not size:
+            if loads[shard] <= mean or not size:
                 break
-            if size <= loads[shard] - total / shards * (1 - slack):
+            if size <= loads[shard] - mean * (1 - slack):
                 loads[shard] -= size
                 homeless.append(slot)
     free = [(load, shard) for shard, load in enumerate(loads)]
@@ -138,7 +141,7 @@ def op6_virtual_slots(store: TableStore, documents: DataFrame, shards: int = SHA
     rows = store.write("slot_rows", slot_rows(documents, "doc_id", "text", slots))
     totals = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
     slot_map = first_map({r["virtual_slot"]: r["bytes"] for r in totals}, shards, slots)
-    save_map(store.spark, slot_map, f"{store.root}/slot_map")
+    save_map(store.spark, slot_map, f"{store.root}/slot_map-{uuid.uuid4().hex[:8]}")
     return place(rows, slot_map, {r["virtual_slot"]: r["n"] for r in totals}).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(slot_map.version).alias("map_version"),
