@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import bpe, dac, grace, mixture, shards
+from holdfast.llm import bpe, dac, grace, mixture, quality, shards
 from holdfast.llm.tables import read, store_of, tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_quality": lambda spark, sf_dir: quality.op1_quality(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    ),
     "op2_entropy_mix": lambda spark, sf_dir: mixture.op2_entropy_mix(
         store_of(spark), read(spark, sf_dir, "documents")
     ),

@@ -8,7 +8,7 @@ hashed by a handful of array operations.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +33,14 @@ class _Powers:
     @classmethod
     def to(cls, n: int) -> None:
         if len(cls.up) < n:
-            size = max(n, BLOCK_BYTES + 1)
-            cls.up = np.cumprod(np.concatenate(([1], np.full(size, _BASE, np.uint64))).astype(np.uint64))
-            inverse = pow(_BASE, -1, 1 << 64)
-            cls.down = np.cumprod(np.concatenate(([1], np.full(size, inverse, np.uint64))).astype(np.uint64))
+            size = max(n, BLOCK_BYTES + 2)
+            cls.up, cls.down = (cls._of(base, size) for base in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+    @staticmethod
+    def _of(base: int, size: int) -> np.ndarray:
+        factors = np.full(size, base, np.uint64)
+        factors[0] = 1
+        return np.cumprod(factors)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,17 +52,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _hash_words(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end of every word of a block."""
-    raw = np.frombuffer(block, np.uint8)
+def word_edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every word of a block."""
     word = np.zeros(len(raw) + 2, np.int8)
     word[1:-1] = ~_SPACE[raw]
     edge = np.diff(word)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    _Powers.to(len(raw) + 1)
-    running = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[_LOWER[raw]] * _Powers.up[: len(raw)], out=running[1:])
-    return mix((running[end] - running[start]) * _Powers.down[start]), start, end
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def run_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch ``start`` to ``end`` of a byte array, wherever it stands."""
+    _Powers.to(len(values) + 1)
+    running = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUE[values] * _Powers.up[: len(values)], out=running[1:])
+    return mix((running[end] - running[start]) * _Powers.down[start])
+
+
+def lower_case_words(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of a block, A-Z lower-cased, and its first byte."""
+    raw = np.frombuffer(block, np.uint8)
+    start, end = word_edges(raw)
+    return run_hashes(_LOWER[raw], start, end), start
 
 
 def _cut(text: bytes) -> Iterator[bytes]:
@@ -91,14 +105,16 @@ def _starts(parts: list[bytes]) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(sizes)[:-1]))
 
 
-def hashed_words(texts: Iterable[bytes | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def hashed_words(
+    texts: Iterable[bytes | None], hash_block: Callable = lower_case_words
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For each block of texts: (first, past the last, word hashes, words before each text)."""
     for first, last, joined, starts in blocks(texts):
         if len(joined) > 2 * BLOCK_BYTES:  # one very long text
-            pieces = [_hash_words(piece)[0] for piece in _cut(joined)]
-            yield first, last, np.concatenate(pieces), np.array([0])
+            pieces = [hash_block(piece)[0] for piece in _cut(joined)]
+            yield first, last, np.concatenate(pieces, axis=-1), np.array([0])
         else:
-            hashes, begin, _ = _hash_words(joined)
+            hashes, begin = hash_block(joined)
             yield first, last, hashes, np.searchsorted(begin, starts)
 
 
