@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import bpe, dac, grace, mixture, quality, shards
+from holdfast.llm import bpe, dac, grace, mixture, pivots, quality, shards
 from holdfast.llm.tables import read, store_of, tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,9 +30,15 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": lambda spark, sf_dir: bpe.op8_token_counts(
         read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")
     ),
+    "op9_pivot_top_k": lambda spark, sf_dir: pivots.op9_pivot_top_k(
+        store_of(spark), read(spark, sf_dir, "embeddings")
+    ),
     "op10_exact_dedup": lambda spark, sf_dir: grace.op10_exact_dedup(
         store_of(spark), read(spark, sf_dir, "documents")
     ),
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_exact_dedup": grace.OP10_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op9_pivot_top_k": pivots.OP9_SQL,
+    "op10_exact_dedup": grace.OP10_SQL,
+}
