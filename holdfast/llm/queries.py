@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import bpe, dac, grace, mixture, pivots, quality, shards
+from holdfast.llm import bpe, dac, grace, mixture, pivots, quality, secrets, shards
 from holdfast.llm.tables import read, store_of, tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,9 @@ QUERIES: dict[str, Query] = {
     "op4_bpe_encode_decode": lambda spark, sf_dir: bpe.op4_bpe_encode_decode(
         read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")
     ),
+    "op5_owner_frequency": lambda spark, sf_dir: secrets.op5_owner_frequency(
+        store_of(spark), read(spark, sf_dir, "documents")
+    ),
     "op6_virtual_slots": lambda spark, sf_dir: shards.op6_virtual_slots(
         store_of(spark), read(spark, sf_dir, "documents")
     ),
