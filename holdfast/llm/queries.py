@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import bpe, dac, grace, mixture, pivots, quality, secrets, shards
+from holdfast.llm import bpe, dac, grace, mixture, neardup, pivots, quality, secrets, shards
 from holdfast.llm.tables import read, store_of, tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,9 @@ QUERIES: dict[str, Query] = {
     "op6_virtual_slots": lambda spark, sf_dir: shards.op6_virtual_slots(
         store_of(spark), read(spark, sf_dir, "documents")
     ),
+    "op7_minmax_near_dedup": lambda spark, sf_dir: neardup.op7_minmax_near_dedup(
+        store_of(spark), read(spark, sf_dir, "documents")
+    ),
     "op8_token_counts": lambda spark, sf_dir: bpe.op8_token_counts(
         read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")
     ),
