@@ -170,7 +170,6 @@ class ModelSettings:
     tree_depth: int = 5
     min_leaf_rows: int = 40
     validation_permille: int = 120
-    importance_rows: int = 25_000
     importance_repeats: int = 3
 
 
@@ -184,13 +183,12 @@ class Profile:
     min_segment_rows: int = 500
     min_export_rows: int = 250
     min_curve_rows: int = 500
-    max_curve_month: int = 36
     readiness_rows: tuple[int, int] = (100, 500)
     large_value: float = 1_000_000.0
     top_segments: int = 30
-    export_rows: int = 100_000
+    sample_rows: int = 100_000
     top_n: tuple[int, ...] = (5_000, 10_000, 25_000, 50_000)
-    fallback_test_rows: int = 5_000
+    fallback_test_rows: int | None = None
     budget_caps: tuple[float, ...] = (100e3, 250e3, 500e3, 750e3, 1e6, 1.5e6, 2e6)
     base_budget_cap: float = 1_000_000.0
     response_multipliers: tuple[float, ...] = (0.50, 0.70, 0.85, 1.00, 1.15, 1.30, 1.50)
@@ -216,6 +214,7 @@ FIXTURE = replace(
     min_segment_rows=5,
     min_export_rows=3,
     min_curve_rows=5,
+    sample_rows=120,
     readiness_rows=(3, 6),
     large_value=10_000_000.0,
     top_n=(50, 100, 250, 500),

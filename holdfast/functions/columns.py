@@ -113,6 +113,17 @@ def summarise(df: DataFrame, keys: list[str], metrics: dict[str, Column],
     return out.filter(F.col("customers") >= min_rows) if min_rows else out
 
 
+def top_pick(df: DataFrame, measure: str, fields: dict[str, str]) -> DataFrame:
+    """One row: the fields (new name -> column) of the row with the largest measure.
+
+    Rows with equal measures are told apart by their text columns, first in alphabet wins.
+    """
+    keys = [name for name, kind in df.dtypes if kind == "string"]
+    place = F.when(F.col(measure).isNotNull(), F.struct((-F.col(measure)).alias("_measure"), *keys))
+    row = F.struct(*(F.col(name).alias(new) for new, name in fields.items()))
+    return df.agg(F.min_by(row, place).alias("_top")).select(*(F.col(f"_top.{new}") for new in fields))
+
+
 def require_columns(df: DataFrame, names: Iterable[str], purpose: str) -> DataFrame:
     missing = sorted(set(names) - set(df.columns))
     if missing:

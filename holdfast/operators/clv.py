@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from holdfast import config as k
 from holdfast.config import Profile
-from holdfast.functions.columns import clip, first_match, mean, summarise, total
+from holdfast.functions.columns import clip, first_match, mean, summarise, total, top_pick
 from holdfast.operators.ranking import Key, ntile_edges, number_rows
 from holdfast.plans.store import TableStore, run_together
 
@@ -211,7 +211,7 @@ def high_value_recovery_targets(clv: DataFrame, p: Profile) -> DataFrame:
         "auto_renew_signal", "cancellation_signal", "no_recent_activity_flag", "major_activity_drop_flag",
     ).orderBy(
         F.desc("future_churned_clv_proxy"), F.desc("profit_adjusted_clv_proxy"), "customer_id"
-    ).limit(p.export_rows)
+    )
 
 
 def clv_segment_matrix(clv: DataFrame, p: Profile) -> DataFrame:
@@ -221,20 +221,20 @@ def clv_segment_matrix(clv: DataFrame, p: Profile) -> DataFrame:
 
 
 def clv_top_sample(clv: DataFrame, p: Profile) -> DataFrame:
-    return clv.orderBy(F.desc("profit_adjusted_clv_proxy"), "customer_id").limit(p.export_rows)
+    return clv.orderBy(F.desc("profit_adjusted_clv_proxy"), "customer_id").limit(p.sample_rows)
 
 
 def clv_headline(portfolio: DataFrame, tiers: DataFrame, actions: DataFrame, clv: DataFrame) -> DataFrame:
-    top_tier = tiers.agg(F.max_by(F.struct("*"), "total_profit_adjusted_clv_proxy").alias("t")).select(
-        F.col("t.clv_value_tier").alias("top_value_tier_by_total_clv"),
-        F.col("t.customers").alias("top_value_tier_customers"),
-        F.col("t.future_churn_rate").alias("top_value_tier_future_churn_rate"),
-    )
-    top_action = actions.agg(F.max_by(F.struct("*"), "future_churned_clv_proxy").alias("a")).select(
-        F.col("a.value_based_action_group").alias("top_action_group_by_future_churned_clv"),
-        F.col("a.customers").alias("top_action_group_customers"),
-        F.col("a.future_churned_clv_proxy").alias("top_action_group_future_churned_clv_proxy"),
-    )
+    top_tier = top_pick(tiers, "total_profit_adjusted_clv_proxy", {
+        "top_value_tier_by_total_clv": "clv_value_tier",
+        "top_value_tier_customers": "customers",
+        "top_value_tier_future_churn_rate": "future_churn_rate",
+    })
+    top_action = top_pick(actions, "future_churned_clv_proxy", {
+        "top_action_group_by_future_churned_clv": "value_based_action_group",
+        "top_action_group_customers": "customers",
+        "top_action_group_future_churned_clv_proxy": "future_churned_clv_proxy",
+    })
     target = clv.filter(F.col("clv_value_tier").isin(*k.TOP_VALUE)).orderBy(
         F.desc("future_churned_clv_proxy"), F.desc("profit_adjusted_clv_proxy"), "customer_id"
     ).limit(1).select(*(F.col(c).alias(f"top_target_{c}") for c in (

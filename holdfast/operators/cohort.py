@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.config import Profile
 from holdfast.functions.columns import (
-    calendar_months, first_match, mean, month_text, ratio, summarise, total, total_where,
+    calendar_months, first_match, mean, month_text, ratio, summarise, total, total_where, top_pick,
 )
 
-MAX_COHORT_AGE = 12
+#: Columns of the wide form; the long form and the heat map hold every age.
+MATRIX_AGES = tuple(range(13))
 
 
 def _churned():
@@ -64,8 +67,7 @@ def cohort_retention_long(customer_month: DataFrame) -> DataFrame:
     age = calendar_months("first_observed_month_date", "snapshot_month_date")
     cells = summarise(
         customer_month.withColumn("months_since_first_observed", age)
-        .withColumn("first_observed_month", month_text("first_observed_month_date"))
-        .filter(F.col("months_since_first_observed").between(0, MAX_COHORT_AGE)),
+        .withColumn("first_observed_month", month_text("first_observed_month_date")),
         ["first_observed_month", "months_since_first_observed"],
         {
             "observed_users": F.count("customer_id"),
@@ -91,8 +93,9 @@ def cohort_retention_long(customer_month: DataFrame) -> DataFrame:
     ).orderBy("first_observed_month", "months_since_first_observed")
 
 
-def cohort_retention_matrix(cohort_long: DataFrame) -> DataFrame:
-    months = list(range(MAX_COHORT_AGE + 1))
+def cohort_retention_matrix(cohort_long: DataFrame, ages: Sequence[int] = MATRIX_AGES) -> DataFrame:
+    """One column per age in ``ages``, which the caller lists as a fixed schema."""
+    months = list(ages)
     wide = cohort_long.groupBy("first_observed_month").pivot(
         "months_since_first_observed", months
     ).agg(F.avg("observed_retention_rate"))
@@ -191,18 +194,11 @@ def cohort_headline(monthly: DataFrame, by_engagement: DataFrame, by_stage: Data
         F.col("m.future_churn_label_rate").alias("latest_month_future_churn_label_rate"),
         F.col("m.future_churned_revenue_proxy").alias("latest_month_future_churned_revenue_proxy"),
     )
-    tier = by_engagement.agg(
-        F.max_by("engagement_tier", "future_churned_revenue_proxy")
-        .alias("highest_future_churned_revenue_engagement_tier")
-    )
-    stage = by_stage.agg(
-        F.max_by("lifecycle_stage", "future_churned_revenue_proxy")
-        .alias("highest_future_churned_revenue_lifecycle_stage")
-    )
-    top = segments.agg(F.max_by(F.struct("*"), "revenue_recovery_priority_score").alias("s")).select(
-        *(F.col(f"s.{c}").alias(f"top_segment_{c}") for c in (
-            "lifecycle_stage", "engagement_tier", "revenue_tier", "customers", "churn_rate",
-            "future_churned_revenue_proxy", "recommended_retention_focus",
-        ))
-    )
+    lost = "future_churned_revenue_proxy"
+    tier = top_pick(by_engagement, lost, {"highest_future_churned_revenue_engagement_tier": "engagement_tier"})
+    stage = top_pick(by_stage, lost, {"highest_future_churned_revenue_lifecycle_stage": "lifecycle_stage"})
+    top = top_pick(segments, "revenue_recovery_priority_score", {f"top_segment_{c}": c for c in (
+        "lifecycle_stage", "engagement_tier", "revenue_tier", "customers", "churn_rate", lost,
+        "recommended_retention_focus",
+    )})
     return latest.crossJoin(tier).crossJoin(stage).crossJoin(top)

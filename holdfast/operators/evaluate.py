@@ -172,7 +172,7 @@ def segment_score_summary(scored: DataFrame, p: Profile) -> DataFrame:
 
 
 def scored_top_sample(scored: DataFrame, p: Profile) -> DataFrame:
-    return scored.orderBy(F.desc(P), "customer_id").limit(p.export_rows)
+    return scored.orderBy(F.desc(P), "customer_id").limit(p.sample_rows)
 
 
 def model_row(ranked: NumberedRows, name: str, note: str, uses_cancel: bool, feature_count: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from holdfast import config as k
 from holdfast.config import Profile
 from holdfast.functions.columns import (
-    first_match, lookup, mean, positive_ratio, ratio, summarise, total, total_where,
+    first_match, lookup, mean, positive_ratio, ratio, summarise, total, total_where, top_pick,
 )
 from holdfast.functions.literals import literal_rows
 from holdfast.operators.clv import FULL_SEGMENT
@@ -290,9 +290,7 @@ def leakage_headline(portfolio: DataFrame, actions: DataFrame, drivers: DataFram
                      priorities: DataFrame) -> DataFrame:
     """One row of top picks; every side is an aggregate of a few rows reduced to one."""
     def best(df: DataFrame, by: str, prefix: str, names: list[str]) -> DataFrame:
-        return df.agg(F.max_by(F.struct(*names), by).alias("b")).select(
-            *(F.col(f"b.{n}").alias(f"{prefix}_{n}") for n in names)
-        )
+        return top_pick(df, by, {f"{prefix}_{n}": n for n in names})
 
     def pick(df: DataFrame, cond: Column, prefix: str, names: list[str]) -> DataFrame:
         return df.filter(cond).select(*(F.col(n).alias(f"{prefix}_{n}") for n in names))

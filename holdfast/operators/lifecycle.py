@@ -9,7 +9,7 @@ from holdfast import config as k
 from holdfast.config import Profile
 from holdfast.functions.columns import (
     calendar_months, first_match, lookup, mean, month_text, share_or_zero, summarise, total,
-    total_where,
+    total_where, top_pick,
 )
 
 P, CLV, LOST = "predicted_churn_probability", "profit_adjusted_clv_proxy", "future_churned_clv_proxy"
@@ -126,9 +126,11 @@ def _exits(base: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def monthly_hazard(base: DataFrame, p: Profile) -> DataFrame:
-    """Hazard for every month 1..max over customers whose duration lies in that range."""
-    exits = _exits(base.filter(F.col(DURATION).between(1, p.max_curve_month)), [])
-    months = base.sparkSession.range(1, p.max_curve_month + 1).select(F.col("id").cast("int").alias("month_index"))
+    """Hazard for every month up to the longest duration, over customers observed at least a month."""
+    exits = _exits(base.filter(F.col(DURATION) >= 1), [])
+    months = exits.agg(F.max("month_index").alias("last")).filter("last IS NOT NULL").select(
+        F.explode(F.sequence(F.lit(1), F.col("last").cast("int"))).alias("month_index")
+    )
     ahead = Window.partitionBy(F.lit(1)).orderBy("month_index").rowsBetween(0, Window.unboundedFollowing)
     filled = months.join(exits, "month_index", "left").fillna(0)  # one row per month
     return filled.select(
@@ -170,23 +172,20 @@ def lifecycle_base_export(base: DataFrame, p: Profile) -> DataFrame:
 
 
 def survival_curve(base: DataFrame, keys: list[str], p: Profile, min_group: int = 0) -> DataFrame:
-    """Product-limit curve per group, months 1 .. min(max month, longest duration of the group).
+    """Product-limit curve per group, months 1 to the longest duration of the group.
 
     The customer table is reduced to a histogram of durations first; everything after that works
     on at most (groups x months) rows.
     """
-    exits = _exits(base, keys).withColumn(
-        # Later exits only matter as "still at risk" at the end of the curve.
-        "month_index", F.least("month_index", F.lit(p.max_curve_month + 1))
-    ).groupBy(*keys, "month_index").agg(
-        *(F.sum(c).alias(c) for c in ("churn_events", "censored_customers", "leaving"))
-    )
+    exits = _exits(base, keys)
     group = [F.col(c) for c in keys] or [F.lit(1)]
     groups = exits.groupBy(*keys).agg(
         F.sum("leaving").alias("group_size"),
-        F.least(F.max("month_index"), F.lit(p.max_curve_month)).alias("last_month"),
+        F.max("month_index").alias("last_month"),
     ).filter(F.col("group_size") >= min_group)
-    months = groups.withColumn("month_index", F.explode(F.sequence(F.lit(1), F.col("last_month"))))
+    months = groups.withColumn("month_index", F.explode(F.when(
+        F.col("last_month") >= 1, F.sequence(F.lit(1), F.col("last_month").cast("int"))
+    )))
     dense = months.join(exits, [*keys, "month_index"], "left").fillna(
         0, ["churn_events", "censored_customers", "leaving"]
     )
@@ -226,23 +225,24 @@ def survival_timepoint_summary(base: DataFrame, quadrant_curve: DataFrame) -> Da
 
 
 def lifecycle_top_sample(base: DataFrame, p: Profile) -> DataFrame:
-    return base.orderBy(F.desc(P), F.desc(CLV), "customer_id").limit(p.export_rows)
+    return base.orderBy(F.desc(P), F.desc(CLV), "customer_id").limit(p.sample_rows)
 
 
 def lifecycle_headline(portfolio: DataFrame, stages: DataFrame, hazard: DataFrame, quadrants: DataFrame,
                        priorities: DataFrame, overall_curve: DataFrame) -> DataFrame:
-    def best(df: DataFrame, by: Column | str, prefix: str, names: list[str]) -> DataFrame:
-        return df.agg(F.max_by(F.struct(*names), by).alias("b")).select(
-            *(F.col(f"b.{n}").alias(f"{prefix}_{n}") for n in names)
-        )
+    def best(df: DataFrame, by: str, prefix: str, names: list[str]) -> DataFrame:
+        return top_pick(df, by, {f"{prefix}_{n}": n for n in names})
 
     counts = ["customers", "future_churn_rate", LOST]
-    peak = F.struct("monthly_hazard_rate", -F.col("month_index"))  # earliest month wins a tie
+    peak_names = ["month_index", "monthly_hazard_rate", "customers_at_risk", "churn_events"]
+    earliest = F.struct("monthly_hazard_rate", -F.col("month_index"))  # the first month wins a tie
+    peak = hazard.agg(F.max_by(F.struct(*peak_names), earliest).alias("_top")).select(
+        *(F.col(f"_top.{n}").alias(f"peak_hazard_{n}") for n in peak_names)
+    )
     parts = [
         survival_at(overall_curve, [], (6, 12)),
         best(stages, LOST, "top_stage", ["lifecycle_stage", *counts]),
-        best(hazard, peak, "peak_hazard",
-             ["month_index", "monthly_hazard_rate", "customers_at_risk", "churn_events"]),
+        peak,
         best(quadrants, LOST, "top_quadrant",
              ["value_risk_quadrant", "lifecycle_strategy_readout", *counts]),
         best(priorities, "lifecycle_model_priority_score", "top_segment",

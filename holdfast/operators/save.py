@@ -9,7 +9,7 @@ from holdfast import config as k
 from holdfast.config import Profile
 from holdfast.functions.columns import (
     clip, first_match, lookup, mean, number_or_zero, positive_ratio, ratio, require_columns,
-    share_or_zero, summarise, total,
+    share_or_zero, summarise, total, top_pick,
 )
 from holdfast.operators.ranking import ROW_NO, Key, number_rows, quantile_edges, rank_bucket
 from holdfast.plans.store import TableStore
@@ -293,21 +293,19 @@ def suppression_summary(saves: DataFrame) -> DataFrame:
 def high_priority_save_targets(saves: DataFrame, p: Profile) -> DataFrame:
     return saves.filter(OFFER).select(*OUTPUT_COLUMNS).orderBy(
         F.desc(NET), F.desc(P), "customer_id"
-    ).limit(p.export_rows)
+    )
 
 
 def save_top_sample(saves: DataFrame, p: Profile) -> DataFrame:
     return saves.select(*OUTPUT_COLUMNS).orderBy(
         F.desc(OFFER), F.desc(NET), F.desc(P), "customer_id"
-    ).limit(p.export_rows)
+    ).limit(p.sample_rows)
 
 
 def save_headline(portfolio: DataFrame, actions: DataFrame, tiers: DataFrame, segments: DataFrame,
                   suppressions: DataFrame) -> DataFrame:
     def best(df: DataFrame, by: str, prefix: str, names: list[str]) -> DataFrame:
-        return df.agg(F.max_by(F.struct(*names), by).alias("b")).select(
-            *(F.col(f"b.{n}").alias(f"{prefix}_{n}") for n in names)
-        )
+        return top_pick(df, by, {f"{prefix}_{n}": n for n in names})
 
     out = portfolio.select(
         "customers", "paid_offer_customers", "paid_offer_rate", "paid_offer_expected_saved_clv_proxy",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -13,14 +15,16 @@ from pyspark.sql import functions as F
 
 from holdfast.config import ModelSettings
 from holdfast.functions.columns import hash_to_unit
-from holdfast.functions.literals import literal_rows
 from holdfast.operators.churn_data import (
     CANCELLATION_FEATURES, CATEGORICAL_FEATURES, NUMERIC_FEATURES, TARGET,
 )
 from holdfast.operators.evaluate import P
+from holdfast.operators.ranking import ROW_NO, Key, number_rows
+from holdfast.plans.store import TableStore
 
 LOGISTIC = "logistic_regression_balanced"
 BOOSTED = "gradient_boosted_trees"
+MIN_BINS = 64
 BOOSTED_NO_CANCEL = "gradient_boosted_trees_no_cancel_signals"
 
 
@@ -46,32 +50,46 @@ CANDIDATES = (
 )
 
 
-def _preparation(numeric: tuple[str, ...]) -> list:
-    """Median for missing numbers, alphabetical codes for categories, an extra code for unseen ones."""
+def _preparation(numeric: tuple[str, ...], scaled: bool) -> list:
+    """Median for missing numbers, alphabetical codes for categories, an extra code for unseen ones.
+
+    With ``scaled`` the numbers are standardised; the codes stay as they are.
+    """
     filled = [f"{c}_filled" for c in numeric]
     coded = [f"{c}_code" for c in CATEGORICAL_FEATURES]
-    return [
-        Imputer(strategy="median", inputCols=list(numeric), outputCols=filled),
+    stages = [
+        # An error of zero asks for the exact median.
+        Imputer(strategy="median", relativeError=0.0, inputCols=list(numeric), outputCols=filled),
         StringIndexer(
             inputCols=list(CATEGORICAL_FEATURES), outputCols=coded, handleInvalid="keep",
             stringOrderType="alphabetAsc",
         ),
-        VectorAssembler(inputCols=[*filled, *coded], outputCol="assembled"),
+    ]
+    if not scaled:
+        return [*stages, VectorAssembler(inputCols=[*filled, *coded], outputCol="assembled")]
+    return [
+        *stages,
+        VectorAssembler(inputCols=filled, outputCol="numbers"),
+        StandardScaler(inputCol="numbers", outputCol="standardised", withMean=True, withStd=True),
+        VectorAssembler(inputCols=["standardised", *coded], outputCol="assembled"),
     ]
 
 
-def build_pipeline(c: Candidate, s: ModelSettings) -> Pipeline:
-    stages = _preparation(c.numeric)
+def build_pipeline(c: Candidate, s: ModelSettings, rows: int, categories: int) -> Pipeline:
+    """``rows`` sets the strength of the L2 term, ``categories`` the bins of the widest category."""
+    stages = _preparation(c.numeric, c.name == LOGISTIC)
     if c.name == LOGISTIC:
-        stages.append(StandardScaler(inputCol="assembled", outputCol="features", withMean=True, withStd=True))
+        # A penalty of one half the squared weights against the summed loss is 1/n against the mean.
         stages.append(LogisticRegression(
-            featuresCol="features", labelCol=TARGET, weightCol="class_weight", maxIter=s.logistic_iterations,
+            featuresCol="assembled", labelCol=TARGET, weightCol="class_weight", maxIter=s.logistic_iterations,
+            regParam=1.0 / max(rows, 1), elasticNetParam=0.0, standardization=False,
         ))
     else:
         stages.append(GBTClassifier(
             featuresCol="assembled", labelCol=TARGET, stepSize=s.boosting_step, maxIter=s.boosting_rounds,
-            maxDepth=s.tree_depth, minInstancesPerNode=s.min_leaf_rows, seed=s.seed, maxBins=64,
-            validationIndicatorCol="for_stopping",
+            maxDepth=s.tree_depth, minInstancesPerNode=s.min_leaf_rows, seed=s.seed,
+            maxBins=max(MIN_BINS, categories + 1), validationIndicatorCol="for_stopping",
+            cacheNodeIds=True, checkpointInterval=10,
         ))
     return Pipeline(stages=stages)
 
@@ -89,7 +107,9 @@ def training_rows(split: DataFrame, s: ModelSettings) -> DataFrame:
 
 
 def train(c: Candidate, split: DataFrame, s: ModelSettings) -> PipelineModel:
-    return build_pipeline(c, s).fit(training_rows(split, s))
+    rows = training_rows(split, s)
+    sizes = rows.agg(F.count("*"), *(F.count_distinct(f) for f in CATEGORICAL_FEATURES)).first()
+    return build_pipeline(c, s, sizes[0], max(sizes[1:])).fit(rows)
 
 
 def score(model: PipelineModel, frame: DataFrame) -> DataFrame:
@@ -105,50 +125,42 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def importance_sample(test: DataFrame, s: ModelSettings) -> DataFrame:
-    """A repeatable sample of at most ``importance_rows`` rows: the smallest hashes."""
-    return test.withColumn("sample_hash", hash_to_unit(f"{s.seed}-sample", "customer_id")).orderBy(
+def hash_sample(rows: DataFrame, seed: int, size: int) -> DataFrame:
+    """A repeatable sample of ``size`` rows: the smallest hashes."""
+    return rows.withColumn("sample_hash", hash_to_unit(f"{seed}-sample", "customer_id")).orderBy(
         "sample_hash", "customer_id"
-    ).limit(s.importance_rows).drop("sample_hash")
+    ).limit(size).drop("sample_hash")
 
 
-def permutation_importance(model: PipelineModel, c: Candidate, sample: DataFrame, s: ModelSettings) -> DataFrame:
-    """Mean and deviation of the ROC-AUC lost when one feature is shuffled.
+def permutation_importance(store: TableStore, test: DataFrame, features: Sequence[str], vector_of: Callable,
+                           score_of: Callable, s: ModelSettings) -> DataFrame:
+    """Mean and deviation of the ROC-AUC lost when one feature is shuffled, over all test rows.
 
-    All (feature, repeat) pairs are scored in one pass.  A pair holds at most
-    ``importance_rows`` rows, which bounds every window here.
+    Per repeat every row gets one donor row: the rows are numbered by id and by a seeded hash, and the
+    two numberings are joined.  Each row is then written out once per feature, with the donor's value
+    in that place, scored, and reduced to counts per score.  ``vector_of`` turns rows into
+    (customer_id, label, x) and ``score_of`` adds the score of a frame with x.
     """
-    *preparation, classifier = model.stages
-    vector = classifier.getFeaturesCol()
-    prepared = PipelineModel(preparation).transform(sample)
-    base = prepared.select("customer_id", TARGET, vector_to_array(vector).alias("x"))
-
-    pairs = literal_rows(
-        sample.sparkSession,
-        [(i, f, r) for i, f in enumerate(c.features) for r in range(s.importance_repeats)],
-        "i int, feature string, repeat int",
-    )
-    pair = ["i", "feature", "repeat"]
-    # Bounded sample times a fixed list of pairs.
-    rows = base.crossJoin(F.broadcast(pairs))
-    shuffled_by = F.sha2(F.concat_ws("|", F.lit(str(s.seed)), "repeat", "feature", "customer_id"), 256)
-    by_id = Window.partitionBy(*pair).orderBy("customer_id")
-    by_hash = Window.partitionBy(*pair).orderBy(shuffled_by)
-    placed = rows.withColumn("place", F.row_number().over(by_id)).withColumn(
-        "donor_place", F.row_number().over(by_hash)
-    )
-    donors = placed.select(*pair, F.col("donor_place").alias("place"), F.col("x")[F.col("i")].alias("donated"))
-    mixed = placed.join(donors, [*pair, "place"]).withColumn(
-        "x", F.transform("x", lambda v, at: F.when(at == F.col("i"), F.col("donated")).otherwise(v))
-    )
-    plain = base.select(
-        F.lit(-1).alias("i"), F.lit("").alias("feature"), F.lit(0).alias("repeat"), "customer_id", TARGET, "x"
-    )
-    everything = mixed.select(*plain.columns).unionByName(plain)
-    scored = classifier.transform(everything.withColumn(vector, array_to_vector("x")))
-    areas = _auc_by_group(scored.withColumn(P, vector_to_array("probability")[1]), pair)
+    base = store.write("importance_rows", vector_of(test))
+    by_id = number_rows(store, "importance_id", base.select("customer_id"), [Key("customer_id")]).frame
+    placed = store.write("importance_places", base.join(by_id, "customer_id"))
+    names = F.array(*map(F.lit, features))
+    parts = [placed.select(F.lit(-1).alias("i"), F.lit("").alias("feature"), F.lit(0).alias("repeat"), TARGET, "x")]
+    for repeat in range(s.importance_repeats):
+        drawn = base.select(
+            F.sha2(F.concat_ws("|", F.lit(f"{s.seed}|{repeat}"), "customer_id"), 256).alias("draw"), "customer_id",
+            F.col("x").alias("donor"),
+        )
+        donors = number_rows(store, f"importance_{repeat}", drawn, [Key("draw"), Key("customer_id")]).frame
+        pairs = placed.join(donors.select(ROW_NO, "donor"), ROW_NO)
+        each = pairs.select(TARGET, "x", "donor", F.posexplode(names).alias("i", "feature"))
+        parts.append(each.select("i", "feature", F.lit(repeat).alias("repeat"), TARGET, F.transform(
+            "x", lambda v, at: F.when(at == F.col("i"), F.element_at("donor", at + 1)).otherwise(v)
+        ).alias("x")))
+    scored = score_of(reduce(DataFrame.unionByName, parts))
+    areas = store.write("importance_areas", _auc_by_group(scored, ["i", "feature", "repeat"]))
     baseline = areas.filter(F.col("i") == -1).select(F.col("roc_auc").alias("full_auc"))
-    lost = areas.filter(F.col("i") >= 0).crossJoin(baseline).withColumn(
+    lost = areas.filter(F.col("i") >= 0).crossJoin(baseline).withColumn(  # a one-row side
         "drop", F.col("full_auc") - F.col("roc_auc")
     )
     return lost.groupBy("feature").agg(
@@ -156,8 +168,29 @@ def permutation_importance(model: PipelineModel, c: Candidate, sample: DataFrame
     ).orderBy(F.desc("importance_mean"), "feature")
 
 
+def model_importance(store: TableStore, model: PipelineModel, c: Candidate, test: DataFrame, s: ModelSettings) -> DataFrame:
+    """Permutation importance of a fitted candidate, on its prepared features."""
+    *preparation, classifier = model.stages
+    vector = classifier.getFeaturesCol()
+
+    def vector_of(rows: DataFrame) -> DataFrame:
+        prepared = PipelineModel(preparation).transform(rows)
+        return prepared.select("customer_id", TARGET, vector_to_array(vector).alias("x"))
+
+    def score_of(rows: DataFrame) -> DataFrame:
+        scored = classifier.transform(rows.withColumn(vector, array_to_vector("x")))
+        return scored.withColumn(P, vector_to_array("probability")[1])
+
+    return permutation_importance(store, test, c.features, vector_of, score_of, s)
+
+
+#: Digits of a score that importance looks at, which bounds the distinct scores of a group.
+SCORE_DIGITS = 6
+
+
 def _auc_by_group(scored: DataFrame, keys: list[str]) -> DataFrame:
-    ties = scored.groupBy(*keys, P).agg(F.count("*").alias("n"), F.sum(TARGET).alias("pos"))
+    """ROC-AUC of every group; only counts per rounded score are ordered, at most a million per group."""
+    ties = scored.groupBy(*keys, F.round(P, SCORE_DIGITS).alias(P)).agg(F.count("*").alias("n"), F.sum(TARGET).alias("pos"))
     upward = Window.partitionBy(*keys).orderBy(P).rowsBetween(Window.unboundedPreceding, 0)
     ranked = ties.withColumn("last", F.sum("n").over(upward))
     average = F.col("last") - (F.col("n") - 1) / 2

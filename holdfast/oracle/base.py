@@ -148,8 +148,10 @@ SELECT c_custkey::VARCHAR AS customer_id, c_nationkey AS city, floor(c_acctbal/1
        CASE c_custkey % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'female' END AS gender,
        CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 3 WHEN 'BUILDING' THEN 4 WHEN 'FURNITURE' THEN 7
             WHEN 'HOUSEHOLD' THEN 9 ELSE 13 END AS registered_via,
-       (DATE '2000-07-01' - to_months(((c_custkey*7) % 48)::INTEGER))::DATE AS registration_date
-FROM customer WHERE c_custkey % 9 <> 0"""
+       coalesce((SELECT min(o_orderdate)::DATE FROM orders o
+                 WHERE o.o_custkey = c_custkey AND o.o_orderdate < TIMESTAMP '2000-08-01'),
+                (DATE '2000-07-01' - to_months(((c_custkey*7) % 48)::INTEGER))::DATE) AS registration_date
+FROM customer"""
 CTES["in_transactions"] = """
 SELECT o_custkey::VARCHAR AS customer_id, (1 + o_orderkey % 5)::INTEGER AS payment_method_id,
        (CASE WHEN o_orderkey % 50 = 0 THEN 0 ELSE 30*(1 + o_orderkey % 3) END)::INTEGER AS payment_plan_days,
@@ -160,8 +162,7 @@ SELECT o_custkey::VARCHAR AS customer_id, (1 + o_orderkey % 5)::INTEGER AS payme
 FROM orders
 LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice) AS price, sum(l_extendedprice*(1-l_discount)) AS paid
            FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
-WHERE o_orderdate < TIMESTAMP '2000-08-01'
-  AND o_orderdate >= DATE '2000-07-01' - to_months(((o_custkey*7) % 48)::INTEGER)"""
+WHERE o_orderdate < TIMESTAMP '2000-08-01'"""
 CTES["in_logs"] = """
 SELECT user_id::VARCHAR AS customer_id, (ts::DATE - to_months(282))::DATE AS day,
        (event_type='view')::INTEGER AS num_25, (event_type='click')::INTEGER AS num_50,

@@ -92,7 +92,7 @@ SELECT first_observed_month, k AS months_since_first_observed, any_value(cohort_
 FROM (SELECT cm.*, f.first_observed_month, s.cohort_size,
              {months('f.first_observed_month_date', 'cm.snapshot_month_date')} AS k
       FROM cm JOIN c_first f USING (customer_id) JOIN c_size s USING (first_observed_month))
-WHERE k BETWEEN 0 AND 12 GROUP BY 1, 2"""
+GROUP BY 1, 2"""
 CTES["c_eng"] = f"""
 SELECT engagement_tier, {SNAP}, avg(active_days) AS avg_active_days,
        avg(no_recent_activity_flag) AS no_recent_activity_rate,
@@ -188,7 +188,7 @@ SELECT customer_id, churn_next_period, snapshot_month, lifecycle_stage, engageme
        future_churned_clv_proxy, engagement_score, active_days, auto_renew_signal, cancellation_signal,
        no_recent_activity_flag, major_activity_drop_flag
 FROM clv WHERE clv_value_tier IN {TOP}
-ORDER BY future_churned_clv_proxy DESC, profit_adjusted_clv_proxy DESC, customer_id LIMIT {p.export_rows}"""
+ORDER BY future_churned_clv_proxy DESC, profit_adjusted_clv_proxy DESC, customer_id"""
 
 Q["clv_value_baselines"] = """
 SELECT customer_id, monthly_value_baseline, engagement_value_baseline, auto_renew_signal, cancellation_signal
@@ -214,7 +214,7 @@ Q["clv_clv_segment_matrix"] = f"""
 SELECT {SEG6}, {CORE}, {SIGNALS}, sum(monthly_value_baseline) AS total_monthly_value_baseline
 FROM clv GROUP BY {SEG6} HAVING count(*) >= {p.min_export_rows}"""
 Q["clv_clv_top_sample"] = f"""
-SELECT * FROM clv ORDER BY profit_adjusted_clv_proxy DESC, customer_id LIMIT {p.export_rows}"""
+SELECT * FROM clv ORDER BY profit_adjusted_clv_proxy DESC, customer_id LIMIT {p.sample_rows}"""
 Q["clv_clv_headline"] = """
 SELECT v.customers, v.future_churn_rate, v.annual_revenue_run_rate_proxy, v.annual_margin_run_rate_proxy,
        v.total_profit_adjusted_clv_proxy, v.future_churned_clv_proxy,

@@ -26,12 +26,12 @@ SELECT customer_id AS msno, strftime(day, '%Y%m%d')::INTEGER AS date, total_secs
 Q["prim_parquet_scan"] = "SELECT customer_id, snapshot_month, total_secs FROM cm WHERE monthly_revenue > 0"
 Q["prim_staged_csv_reread"] = "SELECT * FROM frontier"
 Q["prim_parquet_sink"] = """
-SELECT customer_id, snapshot_month, monthly_revenue, engagement_score FROM cm WHERE snapshot_month >= '2000-01'"""
+SELECT customer_id, snapshot_month, monthly_revenue, engagement_score FROM cm"""
 Q["prim_csv_sink"] = """
 SELECT customer_id, churn_next_period, snapshot_month, city, age, monthly_revenue, lifecycle_stage FROM snap"""
 Q["prim_top_sample_sink"] = f"""
 SELECT customer_id, profit_adjusted_clv_proxy, clv_value_tier FROM clv
-ORDER BY profit_adjusted_clv_proxy DESC, customer_id LIMIT {p.export_rows}"""
+ORDER BY profit_adjusted_clv_proxy DESC, customer_id LIMIT {p.sample_rows}"""
 Q["prim_named_table"] = """
 SELECT lifecycle_stage, count(*) AS customer_months, sum(monthly_revenue) AS revenue FROM cm GROUP BY 1"""
 Q["prim_row_number_global"] = "SELECT customer_id, snapshot_month, row_no FROM pm"
@@ -46,7 +46,7 @@ SELECT customer_id, snapshot_month, count(*) OVER () AS all_rows,
        monthly_revenue/sum(monthly_revenue) OVER () AS revenue_share FROM cm"""
 Q["prim_random_sample"] = f"""
 SELECT customer_id FROM splitted WHERE in_test
-ORDER BY {unit_hash(f'{p.model.seed}-sample')}, customer_id LIMIT {p.model.importance_rows}"""
+ORDER BY {unit_hash(f'{p.model.seed}-sample')}, customer_id LIMIT {p.sample_rows}"""
 Q["prim_group_top_row"] = """
 SELECT customer_id, snapshot_month, monthly_revenue FROM cm
 QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY monthly_revenue DESC, snapshot_month DESC) = 1"""

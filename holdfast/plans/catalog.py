@@ -193,7 +193,7 @@ def _scores(e: RetentionEngine, name: str) -> DataFrame:
 
 def _saved_model(e: RetentionEngine) -> DataFrame:
     """Scores of the best model after a save and load."""
-    path = f"{e.store.root}/model"
+    path = e.store.fresh("model")
     training.save_model(e.model(e.best_model), path)
     return training.score(training.load_model(path), e.table("model_frame")).select("customer_id", evaluate.P)
 
@@ -391,7 +391,7 @@ CHECKS: dict[str, Query] = {
     for name in ("customer_month", "clv", "leakage", "churn_model", "lifecycle", "validation", "save", "roi", "ab")
 }
 CHECKS["check_fail_on_violation"] = lambda e: checks.combine_status({
-    name: checks.fail_on_violation(e.check(name)) for name in ("customer_month", "clv", "leakage")
+    name: e.check(name) for name in e.check_names()
 })
 
 BI: dict[str, Query] = {

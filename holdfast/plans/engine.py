@@ -256,9 +256,9 @@ class RetentionEngine:
 
     @cached_property
     def importance(self) -> DataFrame:
-        sample = training.importance_sample(self.table("model_frame").filter("in_test"), self.p.model)
-        return training.permutation_importance(
-            self.model(self.best_model), self.candidate(self.best_model), sample, self.p.model
+        return training.model_importance(
+            self.store, self.model(self.best_model), self.candidate(self.best_model),
+            self.table("model_frame").filter("in_test"), self.p.model,
         )
 
     @cached_property
@@ -367,10 +367,16 @@ class RetentionEngine:
 
     @cached_property
     def governance(self) -> DataFrame:
-        return validation.leakage_governance_check(self.feature_audit)
+        return validation.leakage_governance_check(
+            self.feature_audit, self.table("scored"), self.table(self.comparison_name), *self._compared(self.is_trained)
+        )
+
+    @staticmethod
+    def _compared(trained: bool) -> tuple[str, str]:
+        return (training.BOOSTED, training.BOOSTED_NO_CANCEL) if trained else (SCORECARD, SCORECARD_NO_CANCEL)
 
     def sensitivity(self, trained: bool) -> DataFrame:
-        names = (training.BOOSTED, training.BOOSTED_NO_CANCEL) if trained else (SCORECARD, SCORECARD_NO_CANCEL)
+        names = self._compared(trained)
         source = "trained_comparison" if trained else "scorecard_comparison"
         return validation.cancel_signal_sensitivity(self.table(source), *names)
 
@@ -483,6 +489,11 @@ class RetentionEngine:
         }
         return reports[name]()
 
+    def enforce(self, *names: str) -> None:
+        """Raises on the first report with a failed check; all reports if none is named."""
+        for name in names or self.check_names():
+            checks.fail_on_violation(self.check(name))
+
     def check_names(self) -> tuple[str, ...]:
         return ("customer_month", "clv", "leakage", "churn_model", "lifecycle", "validation", "save", "roi", "ab")
 

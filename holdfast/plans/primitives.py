@@ -27,7 +27,8 @@ Query = Callable[[RetentionEngine], DataFrame]
 
 
 def _path(e: RetentionEngine, name: str) -> str:
-    return f"{e.store.root}/files/{name}"
+    """A folder of its own for every written result, so a frame that still reads an earlier one stays valid."""
+    return e.store.fresh(f"files-{name}")
 
 
 # --- Scans and sinks ------------------------------------------------------------------------
@@ -66,13 +67,13 @@ def parquet_scan(e: RetentionEngine) -> DataFrame:
 
 
 def parquet_sink(e: RetentionEngine) -> DataFrame:
-    """Customer months partitioned by month; a filter on the month prunes folders."""
+    """All customer months, written by month and read back."""
     path = _path(e, "customer_month")
     raw.write_parquet(
         e.table("customer_month").select("customer_id", "snapshot_month", "monthly_revenue", "engagement_score"),
         path, ["snapshot_month"],
     )
-    return e.spark.read.parquet(path).filter(F.col("snapshot_month") >= "2000-01").select(
+    return e.spark.read.parquet(path).select(
         "customer_id", F.col("snapshot_month").cast("string").alias("snapshot_month"), "monthly_revenue",
         "engagement_score",
     )
@@ -91,7 +92,7 @@ def csv_sink(e: RetentionEngine) -> DataFrame:
 def top_sample_sink(e: RetentionEngine) -> DataFrame:
     path = _path(e, "top_value.csv")
     wanted = e.table("clv").select("customer_id", "profit_adjusted_clv_proxy", "clv_value_tier")
-    raw.write_top_csv(wanted, path, [F.desc("profit_adjusted_clv_proxy"), F.col("customer_id")], e.p.export_rows)
+    raw.write_top_csv(wanted, path, [F.desc("profit_adjusted_clv_proxy"), F.col("customer_id")], e.p.sample_rows)
     return e.spark.read.schema(wanted.schema).option("header", True).csv(path)
 
 
@@ -161,7 +162,8 @@ def totals_beside_rows(e: RetentionEngine) -> DataFrame:
 
 
 def random_sample(e: RetentionEngine) -> DataFrame:
-    return training.importance_sample(e.table("model_frame").filter("in_test"), e.p.model).select("customer_id")
+    rows = e.table("model_frame").filter("in_test")
+    return training.hash_sample(rows, e.p.model.seed, e.p.sample_rows).select("customer_id")
 
 
 def group_top_row(e: RetentionEngine) -> DataFrame:

@@ -54,8 +54,11 @@ class TableStore:
         files.mkdirs(path)
         files.deleteOnExit(path)
 
+    def fresh(self, name: str) -> str:
+        """A folder not used before: a frame read from an earlier write stays valid."""
+        return f"{self.root}/{name}-{next(self._writes)}"
+
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        # A fresh folder each time: a frame read from an earlier write stays valid.
-        path = f"{self.root}/{name}-{next(self._writes)}"
+        path = self.fresh(name)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)

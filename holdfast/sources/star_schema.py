@@ -18,7 +18,8 @@ EVENT_BANDS = (
 EVENT_MONTH_SHIFT = -282
 
 
-def _registered_on(key: str):
+def _without_orders(key: str):
+    """Registration of a customer who never ordered: spread over four years."""
     offset = (F.col(key) * 7) % 48
     return F.add_months(F.to_date(F.lit(LAST_MONTH)), -offset.cast("int"))
 
@@ -43,7 +44,10 @@ class StarSchema:
         )
 
     def members(self) -> DataFrame:
-        c = self._read("customer").filter(F.col("c_custkey") % 9 != 0)
+        first = self._read("orders").filter(F.col("o_orderdate") < CUTOFF).groupBy("o_custkey").agg(
+            F.to_date(F.min("o_orderdate")).alias("first_order")
+        )
+        c = self._read("customer").join(first, F.col("c_custkey") == F.col("o_custkey"), "left")
         gender = F.when(F.col("c_custkey") % 3 == 0, "male").when(F.col("c_custkey") % 3 == 1, "female")
         return c.select(
             F.col("c_custkey").cast("string").alias("customer_id"),
@@ -51,7 +55,7 @@ class StarSchema:
             F.floor(F.col("c_acctbal") / 100).cast("int").alias("bd"),
             gender.alias("gender"),
             lookup("c_mktsegment", CHANNELS, 13).alias("registered_via"),
-            _yyyymmdd(_registered_on("c_custkey")).alias("registration_init_time"),
+            _yyyymmdd(F.coalesce("first_order", _without_orders("c_custkey"))).alias("registration_init_time"),
         )
 
     def transactions(self) -> DataFrame:
@@ -60,9 +64,7 @@ class StarSchema:
             F.sum("l_extendedprice").alias("plan_list_price"),
             F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("actual_amount_paid"),
         )
-        o = self._read("orders").filter(
-            (F.col("o_orderdate") < CUTOFF) & (F.col("o_orderdate") >= _registered_on("o_custkey"))
-        )
+        o = self._read("orders").filter(F.col("o_orderdate") < CUTOFF)
         days = F.when(F.col("o_orderkey") % 50 == 0, 0).otherwise(30 * (1 + F.col("o_orderkey") % 3)).cast("int")
         day = F.to_date("o_orderdate")
         return o.join(paid, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(

@@ -1,8 +1,9 @@
 """Activity logs taken in file by file: the chunked read of a log too large to load at once.
 
-Spark keeps one running row per customer and day; each trigger takes a few files and writes the
-rows it changed.  Days older than the allowed lateness leave the state.  A replayed trigger
-overwrites its own folder, so the result is the same after a failure.
+Each trigger takes a few files and writes their sums per customer and day to a folder of its own; the
+sums of all triggers are added when the result is read.  No state is kept, so a day may arrive in any
+file, however late.  A replayed trigger overwrites its folder, so the result is the same after a
+failure.
 """
 
 from __future__ import annotations
@@ -27,29 +28,25 @@ def log_stream(spark: SparkSession, folder: str, files_per_trigger: int) -> Data
     )
 
 
-def daily_activity(logs: DataFrame, lateness: str) -> DataFrame:
-    """Running sums per customer and day; a day that does not parse is left out."""
+def daily_activity(logs: DataFrame) -> DataFrame:
+    """Sums per customer and day; a day that does not parse is left out."""
     typed = logs.select(
         "customer_id",
-        parse_yyyymmdd("date").cast("timestamp").alias("day"),
+        parse_yyyymmdd("date").alias("day"),
         *(number_or_zero(c, "bigint").alias(c) for c in LOG_COUNTS),
         number_or_zero("total_secs").alias("total_secs"),
     ).filter(F.col("day").isNotNull())
-    return typed.withWatermark("day", lateness).groupBy("customer_id", "day").agg(
-        *(F.sum(c).alias(c) for c in SUMMED)
-    )
+    return typed.groupBy("customer_id", "day").agg(*(F.sum(c).alias(c) for c in SUMMED))
 
 
-def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, files_per_trigger: int = 100,
-           lateness: str = "62 days") -> None:
+def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, files_per_trigger: int = 100) -> None:
     """Takes in every file that is not yet ingested, then stops."""
-    def keep(changed: DataFrame, trigger: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{out}/trigger={trigger}")
+    def keep(files: DataFrame, trigger: int) -> None:
+        daily_activity(files).write.mode("overwrite").parquet(f"{out}/trigger={trigger}")
 
     query = (
-        daily_activity(log_stream(spark, folder, files_per_trigger), lateness)
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
+        log_stream(spark, folder, files_per_trigger)
+        .writeStream.option("checkpointLocation", checkpoint)
         .foreachBatch(keep)
         .trigger(availableNow=True)
         .start()
@@ -58,14 +55,12 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, files_pe
 
 
 def monthly_activity(spark: SparkSession, out: str, labels: DataFrame) -> DataFrame:
-    """Customer x month activity from the latest row of each customer and day."""
-    written = spark.read.parquet(out)
-    row = F.struct("trigger", *SUMMED).alias("row")
-    latest = written.groupBy("customer_id", "day").agg(F.max(row).alias("row"))
-    daily = latest.select(
+    """Customer x month activity from the added sums of each customer and day."""
+    written = spark.read.parquet(out).groupBy("customer_id", "day").agg(*(F.sum(c).alias(c) for c in SUMMED))
+    daily = written.select(
         "customer_id",
         F.date_format("day", "yyyy-MM").alias("activity_month"),
         F.date_format("day", "yyyyMMdd").cast("int").alias("date"),
-        *(F.col(f"row.{c}").alias(c) for c in SUMMED),
+        *SUMMED,
     )
     return monthly_from_daily(daily, labels)

@@ -83,3 +83,12 @@ def test_no_effect_has_no_sample_size(spark):
 def test_require_columns(spark):
     with pytest.raises(ValueError, match="b"):
         c.require_columns(spark.createDataFrame([(1,)], "a int"), ["a", "b"], "a test")
+
+
+def test_equal_leaders_are_told_apart_by_name(spark):
+    rows = [("b", "x", 5.0, 1), ("a", "y", 5.0, 2), ("a", "x", 5.0, 3), ("c", "x", None, 4), ("d", "x", 1.0, 5)]
+    df = spark.createDataFrame(rows, "tier string, stage string, lost double, customers int")
+    for parts in (1, 5):
+        got = c.top_pick(df.repartition(parts), "lost", {"top_tier": "tier", "top_customers": "customers"})
+        assert [tuple(r) for r in got.collect()] == [("a", 3)]
+    assert tuple(c.top_pick(df.filter("lost is null"), "lost", {"t": "tier"}).first()) == (None,)

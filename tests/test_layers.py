@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -168,10 +169,10 @@ def test_survival_reaches_zero_and_small_groups_are_left_out(spark):
     got = [(r["month_index"], r["customers_at_risk"], round(r["survival_probability"], 6)) for r in curve.collect()]
     assert got == [(1, 4, 0.75), (2, 3, 0.75), (3, 2, 0.0)]
     long = lifecycle.survival_curve(df, ["grp"], REFERENCE, 2).collect()
-    assert len(long) == REFERENCE.max_curve_month
+    assert len(long) == 50  # the longest duration
     assert long[-1]["customers_at_risk"] == 1 and long[-1]["survival_probability"] == pytest.approx(0.8 * 1 / 3)
     hazard = lifecycle.monthly_hazard(df, REFERENCE).collect()
-    assert len(hazard) == 36 and hazard[0]["customers_at_risk"] == 5 and hazard[35]["monthly_hazard_rate"] == 0
+    assert len(hazard) == 50 and hazard[0]["customers_at_risk"] == 6 and hazard[49]["monthly_hazard_rate"] == 0
 
 
 # --- Save-worthiness --------------------------------------------------------------------------------
@@ -270,7 +271,8 @@ def test_assignment_halves_every_stratum_and_repeats(spark, store):
     counts = {tuple(r)[:2]: r["count"] for r in first.groupBy("save_priority_tier", "experiment_group").count().collect()}
     assert counts == {("alone", k.TREATMENT): 1, ("crowd", k.TREATMENT): 20, ("crowd", k.CONTROL): 19}
     broke = spark.createDataFrame([(0.5, 0.0, 0)], budget.schema)
-    assert abtest.experiment_population(saves, broke, REFERENCE).count() == 60
+    assert abtest.experiment_population(saves, broke, REFERENCE).count() == 0
+    assert abtest.experiment_population(saves, broke, replace(REFERENCE, fallback_test_rows=7)).count() == 7
 
 
 # --- Sources ------------------------------------------------------------------------------------------

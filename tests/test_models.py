@@ -45,7 +45,7 @@ def test_model_learns_a_real_signal(spark, engine):
         means = {r[0]: r[1] for r in scored.groupBy(churn_data.TARGET).agg(F.avg("predicted_churn_probability")).collect()}
         assert means[1] > means[0] + 0.2
     model = training.train(engine.candidate(training.BOOSTED), frame, engine.p.model)
-    gain = training.permutation_importance(model, engine.candidate(training.BOOSTED), frame, engine.p.model).first()
+    gain = training.model_importance(engine.store, model, engine.candidate(training.BOOSTED), frame, engine.p.model).first()
     assert gain["feature"] == "monthly_revenue" and gain["importance_mean"] > 0.2
 
 

@@ -26,6 +26,16 @@ def test_file_by_file_equals_the_whole_log(spark, tmp_path):
     files.filter(~half).write.mode("append").option("header", True).csv(folder)
     activity.ingest(spark, folder, out, checkpoint, files_per_trigger=2)
 
+    # A file with days long before all others comes last, and is not lost.
+    late = tmp_path / "late"
+    late.mkdir()
+    first = logs.first()
+    row = {**first.asDict(), "msno": first["customer_id"], "date": 19700305}
+    (late / "a.csv").write_text(",".join(columns) + "\n" + ",".join(str(row[c]) for c in columns) + "\n")
+    spark.read.option("header", True).csv(str(late)).write.mode("append").option("header", True).csv(folder)
+    activity.ingest(spark, folder, out, checkpoint, files_per_trigger=2)
+    logs = logs.unionByName(spark.createDataFrame([{**first.asDict(), "date": 19700305}], logs.schema))
+
     got = activity.monthly_activity(spark, out, labels)
     want = clean.monthly_activity(logs, labels)
     assert _plain(got.select(*want.columns)) == _plain(want)
