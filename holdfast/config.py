@@ -124,15 +124,15 @@ ACTIONS = (
 
 SCENARIOS = (
     Scenario("Conservative", 0.70, 1.25, 500_000.0,
-             "Lower response and higher cost; use for downside planning."),
+             "Fewer responses at more cost."),
     Scenario("Base", 1.00, 1.00, 1_000_000.0,
-             "Base planning case from save-worthiness assumptions."),
+             "Responses and costs as assumed."),
     Scenario("Upside", 1.25, 0.90, 1_500_000.0,
-             "Higher response and lower cost; use for upside planning."),
+             "More responses at less cost."),
     Scenario("Budget constrained", 0.90, 1.10, 250_000.0,
-             "Smaller leadership-approved campaign budget."),
+             "A quarter of the base budget."),
     Scenario("Aggressive growth", 1.40, 1.15, 2_000_000.0,
-             "Larger campaign push with higher execution cost."),
+             "Many more responses, bought at higher cost."),
 )
 
 RECOVERY_SCENARIOS = (

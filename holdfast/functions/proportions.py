@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from holdfast.config import AB_Z_ALPHA
 from holdfast.functions.columns import clip
 
-# Rational approximation of erf, Abramowitz & Stegun 7.1.26 (|error| < 1.5e-7).
-ERF_P = 0.3275911
-ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+SERIES_TERMS = 64
+FRACTION_TERMS = 48
+SERIES_UP_TO = 3.0
 
 
 def erf(x: Column) -> Column:
+    """Error function to about 1e-15: the power series near zero, the continued fraction of its complement beyond.
+
+    Both are nested from the inside out, so the expression stays one chain of additions and divisions.
+    """
     size = F.abs(x)
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(ERF_P) * size)
-    poly = F.lit(0.0)
-    for a in reversed(ERF_A):
-        poly = (poly + F.lit(a)) * t
-    return F.signum(x) * (F.lit(1.0) - poly * F.exp(-size * size))
+    near = F.least(size, F.lit(SERIES_UP_TO))
+    twice = 2 * near * near
+    series = F.lit(1.0)
+    for k in range(SERIES_TERMS, 0, -1):
+        series = F.lit(1.0) + series * twice / F.lit(2.0 * k + 1)
+    inner = F.lit(2 / math.sqrt(math.pi)) * near * F.exp(-near * near) * series
+    far = F.greatest(size, F.lit(SERIES_UP_TO))
+    below = far
+    for k in range(FRACTION_TERMS, 0, -1):
+        below = far + F.lit(k / 2) / below
+    outer = F.lit(1.0) - F.exp(-far * far) / (F.lit(math.sqrt(math.pi)) * below)
+    return F.signum(x) * F.when(size <= SERIES_UP_TO, inner).otherwise(outer)
 
 
 def normal_cdf(x: Column) -> Column:

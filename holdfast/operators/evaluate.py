@@ -21,7 +21,7 @@ from holdfast.operators.ranking import (
 from holdfast.plans.store import TableStore
 
 P, CLV, LOST = "predicted_churn_probability", "profit_adjusted_clv_proxy", "future_churned_clv_proxy"
-STAGE_NOTE = "Predicted churn risk only. Final targeting comes later from save-worthiness scoring."
+STAGE_NOTE = "A risk score; the save ranking decides on offers."
 
 
 def rank_scores(store: TableStore, name: str, scored: DataFrame) -> NumberedRows:

@@ -269,12 +269,11 @@ def model_priority_segments(clv: DataFrame, p: Profile) -> DataFrame:
     reason = first_match(
         [
             (budget == k.PREMIUM_BUDGET,
-             "High value exposure; model should separate customers who need intervention from "
-             "customers who would stay anyway."),
+             "Much value at stake: worth telling leavers from stayers."),
             (budget == k.MODERATE_BUDGET,
-             "Moderate value exposure; model can improve campaign efficiency."),
-            (budget == k.AUTOMATION_BUDGET, "Low individual value; use scalable low-cost messaging."),
-            (group == "Suppress paid offer", "No observed value; paid offers should be avoided."),
+             "Some value at stake: scores save campaign cost."),
+            (budget == k.AUTOMATION_BUDGET, "Little value each: automated messages only."),
+            (group == "Suppress paid offer", "Nothing to lose: no paid offers."),
         ],
         "Use as monitoring population.",
     )

@@ -394,7 +394,7 @@ SELECT customer_id, actual_future_churn_label, snapshot_month, lifecycle_stage,
        profit_adjusted_clv_proxy, future_churned_clv_proxy, predicted_churn_probability, churn_risk_decile,
        CASE WHEN churn_risk_decile = 1 THEN '{k.CRITICAL}' WHEN churn_risk_decile <= 3 THEN '{k.HIGH_RISK}'
             WHEN churn_risk_decile <= 6 THEN '{k.MEDIUM_RISK}' ELSE '{k.LOW_RISK}' END AS churn_risk_tier,
-       'Predicted churn risk only. Final targeting comes later from save-worthiness scoring.' AS model_stage_note
+       'A risk score; the save ranking decides on offers.' AS model_stage_note
 FROM (SELECT *, {qcut('r', 'n')} AS churn_risk_decile
       FROM (SELECT *, row_number() OVER (ORDER BY predicted_churn_probability DESC, customer_id) AS r,
                    count(*) OVER () AS n

@@ -326,12 +326,11 @@ ADVICE = when([
     (f"retention_budget_tier = '{k.AUTOMATION_BUDGET}'", "Use for low-cost lifecycle automation"),
 ], "Monitor segment")
 REASON = when([
-    (f"retention_budget_tier = '{k.PREMIUM_BUDGET}'", "High value exposure; model should separate customers who "
-     "need intervention from customers who would stay anyway."),
+    (f"retention_budget_tier = '{k.PREMIUM_BUDGET}'", "Much value at stake: worth telling leavers from stayers."),
     (f"retention_budget_tier = '{k.MODERATE_BUDGET}'",
-     "Moderate value exposure; model can improve campaign efficiency."),
-    (f"retention_budget_tier = '{k.AUTOMATION_BUDGET}'", "Low individual value; use scalable low-cost messaging."),
-    ("value_based_action_group = 'Suppress paid offer'", "No observed value; paid offers should be avoided."),
+     "Some value at stake: scores save campaign cost."),
+    (f"retention_budget_tier = '{k.AUTOMATION_BUDGET}'", "Little value each: automated messages only."),
+    ("value_based_action_group = 'Suppress paid offer'", "Nothing to lose: no paid offers."),
 ], "Use as monitoring population.")
 CTES["l_prio"] = f"""
 SELECT g.*, future_churned_clv_proxy*(1 + future_churn_rate)*weight AS model_priority_score,

@@ -7,7 +7,7 @@ their reader.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from functools import cached_property, partial
 
 from pyspark.ml import PipelineModel
@@ -21,7 +21,7 @@ from holdfast.operators import (
 )
 from holdfast.operators.ranking import NumberedRows
 from holdfast.plans.store import TableStore, run_together
-from holdfast.sources.raw import RawTables
+from holdfast.sources.raw import RawTables, write_csv, write_parquet
 
 SCORECARD = "planning_scorecard"
 SCORECARD_NO_CANCEL = "planning_scorecard_no_cancel_signals"
@@ -29,6 +29,13 @@ SCORECARD_NOTE = "Transparent scorecard over snapshot signals."
 SCORECARD_NO_CANCEL_NOTE = "Scorecard without the cancellation signal."
 
 
+#: Layers that ``publish`` writes, and the columns their folders are split by.
+PUBLISHED_LAYERS: dict[str, list[str] | None] = {
+    "customer_month": ["snapshot_month"], "snapshot": None, "clv": None, "scored": None, "lifecycle": None,
+    "saves": None, "population": None,
+}
+
+
 class RetentionEngine:
     """``score_source`` is "scorecard" (repeatable, no training) or "trained" (best model)."""
 
@@ -489,6 +496,15 @@ class RetentionEngine:
         }
         return reports[name]()
 
+    def publish(self, folder: str, layers: Mapping[str, list[str] | None] = PUBLISHED_LAYERS) -> None:
+        """Writes the layers as Parquet and every dashboard and check report as CSV below ``folder``."""
+        for name, split_by in layers.items():
+            write_parquet(self.table(name), f"{folder}/layers/{name}", split_by)
+        for name, table in self.dashboards().items():
+            write_csv(table, f"{folder}/dashboards/{name}")
+        for name in self.check_names():
+            write_csv(self.check(name), f"{folder}/checks/{name}")
+
     def enforce(self, *names: str) -> None:
         """Raises on the first report with a failed check; all reports if none is named."""
         for name in names or self.check_names():
