@@ -182,20 +182,18 @@ def mix(store: TableStore, df: DataFrame, doc_id: str, text: str, source: str, c
 
 def repeat(store: TableStore, df: DataFrame, doc_id: str, text: str, source: str, cap: int = CAP) -> DataFrame:
     """The mix itself: rows of ``df`` with all their columns, each as often as its copies say."""
-    copies = mix(store, df, doc_id, text, source, cap).filter("copies > 0").groupBy("doc_id", "text_key", "source").agg(
-        F.sort_array(F.collect_list("copies")).alias("__copies")
-    )
-    # Rows alike in id, text and source are told apart by their place in the list of copies.
+    copies = mix(store, df, doc_id, text, source, cap).groupBy("doc_id", "text_key", "source").agg(
+        F.sum("copies").alias("__times"), F.count("*").alias("__rows")
+    ).filter("__times > 0")
     key = F.struct(F.col(doc_id), F.xxhash64(text), F.col(source))
-    wanted = copies.select(F.struct("doc_id", "text_key", "source").alias("__key"), "__copies")
-    joined = df.join(wanted, key.eqNullSafe(F.col("__key")))
-    total = F.aggregate("__copies", F.lit(0).cast("bigint"), lambda a, b: a + b)
-    single = joined.withColumn("__times", total).drop("__key")
-    alike = F.size("__copies") > 1
-    once = single.filter(~alike)
-    many = single.filter(alike).dropDuplicates([doc_id, text, source])
-    out = once.unionByName(many)
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__times")))).select(*df.columns)
+    wanted = store.write("copies", copies.select(
+        F.struct("doc_id", "text_key", "source").alias("__key"), "__times", "__rows"
+    ))
+    taken = df.join(wanted, key.eqNullSafe(F.col("__key"))).drop("__key")
+    if not wanted.filter("__rows > 1").isEmpty():  # rows alike in id, text and source share their copies
+        alike = taken.filter("__rows > 1").dropDuplicates([doc_id, text, source])
+        taken = taken.filter("__rows = 1").unionByName(alike)
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__times")))).select(*df.columns)
 
 
 def op2_entropy_mix(store: TableStore, documents: DataFrame) -> DataFrame:
