@@ -222,5 +222,5 @@ FIXTURE = replace(
         replace(b, cost_per_customer=b.cost_per_customer * _COST_SCALE) for b in BUDGET_TIERS
     ),
     actions=tuple(replace(a, cost=a.cost * _COST_SCALE) for a in ACTIONS),
-    model=ModelSettings(boosting_rounds=12, logistic_iterations=60, min_leaf_rows=5),
+    model=ModelSettings(min_leaf_rows=5),
 )

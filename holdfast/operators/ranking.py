@@ -15,6 +15,7 @@ import bisect
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 from operator import or_
 
@@ -27,6 +28,7 @@ from holdfast.plans.store import TableStore
 
 ROW_NO = "row_no"
 _POSITION_BITS = 33
+EXACT = "decimal(28,6)"
 
 
 @dataclass(frozen=True)
@@ -98,7 +100,8 @@ def number_rows(store: TableStore, name: str, df: DataFrame, order: Sequence[Key
                 running: dict[str, str] | None = None) -> NumberedRows:
     """Number rows 1..n in a total order (``order`` must end in a unique key).
 
-    ``running`` maps new column -> summed column: running totals in the same order.
+    ``running`` maps new column -> summed column: running totals in the same order.  They are added as
+    decimals of six places, so they do not depend on the order in which tasks add them.
     """
     running = running or {}
     sort = [k.sort() for k in order]
@@ -112,16 +115,16 @@ def number_rows(store: TableStore, name: str, df: DataFrame, order: Sequence[Key
     )
     frozen = store.write(f"numbered_{name}", tagged)
 
-    sums = [F.sum(F.col(c).cast("double")).alias(f"_sum_{out}") for out, c in running.items()]
+    sums = [F.sum(F.col(c).cast(EXACT)).alias(f"_sum_{out}") for out, c in running.items()]
     parts = sorted(frozen.groupBy("_part").agg(F.count("*").alias("_n"), *sums).collect())
 
-    before, rows, totals = [], 0, dict.fromkeys(running, 0.0)
+    before, rows, totals = [], 0, dict.fromkeys(running, Decimal(0))
     for part in parts:
-        before.append((part["_part"], rows, *totals.values()))
+        before.append((part["_part"], rows, *map(str, totals.values())))
         rows += part["_n"]
         for out in running:
-            totals[out] += part[f"_sum_{out}"] or 0.0
-    fields = ["_part bigint", "_before bigint", *(f"_before_{out} double" for out in running)]
+            totals[out] += part[f"_sum_{out}"] or Decimal(0)
+    fields = ["_part bigint", "_before bigint", *(f"_before_{out} string" for out in running)]
     offsets = literal_rows(store.spark, before, ", ".join(fields))
 
     # One offset row per range partition, so its size is bounded by the partition count.
@@ -131,12 +134,13 @@ def number_rows(store: TableStore, name: str, df: DataFrame, order: Sequence[Key
     if running:
         w = Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
         frame = frame.withColumns({
-            out: F.col(f"_before_{out}") + F.sum(F.col(c).cast("double")).over(w)
+            out: (F.col(f"_before_{out}").cast(EXACT) + F.sum(F.col(c).cast(EXACT)).over(w)).cast("double")
             for out, c in running.items()
         })
     frame = frame.select(*df.columns, ROW_NO, *running)
     starts = tuple((part, start) for part, start, *_ in before)
-    return NumberedRows(frame, frozen, tuple(order), rows, totals, starts)
+    whole = {out: float(total) for out, total in totals.items()}
+    return NumberedRows(frame, frozen, tuple(order), rows, whole, starts)
 
 
 def ntile_edges(rows: int, buckets: int) -> list[int]:
