@@ -16,8 +16,10 @@ document ids come first; rows with the same id are ordered by text.  An empty ta
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions.literals import literal_rows
+from holdfast.llm.bpe import byte_symbols
 from holdfast.llm.text import small_batches
 from holdfast.plans.store import TableStore
 
@@ -35,9 +38,17 @@ CHUNK_BITS = 8
 RANK_BITS = 512
 SEGMENT_IDS = 1 << 18
 SEGMENT_DOCUMENTS = 4096
-MEMO_WORDS = 400_000
+MEMO_WORDS = 700_000
 MEMO_LENGTH = 48
 
+#: Lead bytes of characters from U+0300 on; below there are no combining marks and lower case is taken by character.
+_COMBINING = re.compile(rb"[\xcc-\xff]")
+#: Runs of printable ASCII and small Latin letters, which are split into pieces here.
+_PLAIN = re.compile(r"[!-;=-~\u00df-\u00f6\u00f8-\u024f]+")
+# Fixed value: the split pattern that belongs to the vocabulary, for the characters of a plain run.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u024f]+")
+_SYMBOLS = dict(enumerate(byte_symbols()))
+
 SEGMENTS = (
     "part int, segment int, first_id bigint, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 )
@@ -126,10 +137,12 @@ class Reader:
 
 
 class LibraryWords:
-    """Token ids by a vocabulary whose split drops white space.
+    """Token ids by a vocabulary that drops white space, lower-cases and splits into pieces.
 
-    Such a tokenizer handles every run between spaces by itself, so the library encodes each
-    distinct run once and a bounded memo serves the repeats.
+    Such a tokenizer handles every run between spaces by itself, so each distinct run is encoded once
+    and a bounded memo serves the repeats.  Runs of printable ASCII and Latin letters need no
+    normalising beyond lower case: their pieces go straight to the library's merge model.  All others
+    go through the whole tokenizer.
     """
 
     _loaded: dict[str, LibraryWords] = {}
@@ -141,7 +154,9 @@ class LibraryWords:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.kept: dict[bytes, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
+        self.kept: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str) -> LibraryWords:
@@ -149,21 +164,42 @@ class LibraryWords:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def encode(self, text: str) -> bytes:
-        """Packed 32-bit ids of a text."""
-        words = text.encode("utf-8").split()  # at ASCII white space only
+    @staticmethod
+    def runs(text: str) -> list[str]:
+        """The text between ASCII white space; in lower case where that can't change what follows."""
+        raw = text.encode("utf-8")
+        if b"<" not in raw and not _COMBINING.search(raw):
+            raw = text.lower().encode("utf-8")
+        return b"\n".join(raw.split()).decode("utf-8").split("\n") if raw.strip() else []
+
+    def piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            symbols = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(_SYMBOLS)
+            ids = array("I", [token.id for token in self.merge(symbols)]).tobytes()
+            if len(piece) <= MEMO_LENGTH:
+                self.pieces[piece] = ids
+        return ids
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed 32-bit ids of every text."""
         kept = self.kept
-        found = list(map(kept.get, words))
-        if None in found:
-            new = list({w for w, ids in zip(words, found) if ids is None})
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
-            fresh = {w: np.array(c.ids, "<u4").tobytes() for w, c in zip(new, coded)}
-            found = [fresh[w] if ids is None else ids for w, ids in zip(words, found)]
-            kept.update((w, ids) for w, ids in fresh.items() if len(w) <= MEMO_LENGTH)
-            if len(kept) > MEMO_WORDS:
-                for w in list(kept)[MEMO_WORDS // 2:]:
-                    del kept[w]
-        return b"".join(found)
+        words = [self.runs(text) for text in texts]
+        new = {w for run in words for w in run if w not in kept}
+        odd = [w for w in new if not (w == w.lower() and _PLAIN.fullmatch(w))]
+        coded = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
+        kept.update((w, array("I", c.ids).tobytes()) for w, c in zip(odd, coded))
+        for w in new.difference(odd):
+            kept[w] = b"".join(map(self.piece, _PIECES.findall(w)))
+        out = [b"".join([kept[w] for w in run]) for run in words]
+        for w in new:
+            if len(w) > MEMO_LENGTH:
+                del kept[w]
+        for memo in (kept, self.pieces):
+            if len(memo) > MEMO_WORDS:  # what came first is mostly frequent
+                for w in list(memo)[MEMO_WORDS // 2:]:
+                    del memo[w]
+        return out
 
 
 def write_corpus(store: TableStore, df: DataFrame, doc_id: str, text: str, path: str, end_id: int) -> DataFrame:
@@ -194,9 +230,10 @@ def write_corpus(store: TableStore, df: DataFrame, doc_id: str, text: str, path:
                 kept.clear()
             return out
 
-        for batch in small_batches(batches):
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                coded = words.encode(value or "") + end
+        for batch in small_batches(batches, rows=128):
+            texts = batch.column(1).to_pylist()
+            for key, coded in zip(batch.column(0).to_pylist(), words.encode(texts)):
+                coded += end
                 ids.append(coded)
                 doc_ids.append(key)
                 lengths.append(len(coded) // 4)

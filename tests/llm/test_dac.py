@@ -55,6 +55,14 @@ def test_documents_like_the_library(docs_of, store, monkeypatch):
     assert order == [d for d, _ in rows]
 
 
+def test_runs_and_pieces_like_the_library():
+    library, words = Tokenizer.from_file(PATH), dac.LibraryWords(PATH)
+    texts = [f"a{chr(c)}b {chr(c)}X it{chr(c)}s'll {chr(c)}" for c in range(0x400) if not 0xD800 <= c < 0xE000]
+    texts += ["J\u030c E\u0301 ΑΣ. İstanbul", "can't WE'LL 12ab'3's --'--", "<|ENDOFTEXT|> <|endoftext|>x", "\U0001f642 ok"]
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in words.encode(texts)]
+    assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_random_access_to_the_written_corpus(docs_of, store):
     docs = docs_of([(i, f"word{i} again") for i in range(50)])
     segments = dac.write_corpus(store, docs, "doc_id", "text", PATH, 2)
