@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 from holdfast.plans.store import TableStore
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers find this package where the driver has it; a cluster has it installed or ships it."""
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def tokenizer_file(name: str) -> str:
@@ -20,4 +33,4 @@ def tokenizer_file(name: str) -> str:
 
 def store_of(spark: SparkSession) -> TableStore:
     """A fresh folder for written tables, in the shared folder that the session names."""
-    return TableStore(spark)
+    return TableStore(importable(spark))
