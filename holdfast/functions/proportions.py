@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from holdfast.config import AB_Z_ALPHA
 from holdfast.functions.columns import clip
 
-SERIES_TERMS = 64
-FRACTION_TERMS = 48
-SERIES_UP_TO = 3.0
+SERIES_TERMS = 40
+FRACTION_TERMS = 60
+SERIES_UP_TO = 2.0
 
 
 def erf(x: Column) -> Column:
