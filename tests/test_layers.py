@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from holdfast import config as k
 from holdfast.config import REFERENCE
-from holdfast.operators import abtest, clean, customer_month, evaluate, lifecycle, roi, save
+from holdfast.operators import abtest, clean, cohort, customer_month, evaluate, lifecycle, roi, save
 from holdfast.sources import raw
 
 
@@ -160,6 +160,20 @@ def test_score_metrics_with_ties(spark, store):
     assert got["f1_at_0_50"] == pytest.approx(2 * tp / ((s >= 0.5).sum() + y.sum()))
 
 
+# --- Cohorts ---------------------------------------------------------------------------------------
+
+def test_cohorts_keep_every_age(spark):
+    months = spark.range(20).select(
+        F.lit("c").alias("customer_id"), F.lit(1.0).alias("monthly_revenue"), F.lit(1).alias("churn_next_period"),
+        F.lit(2.0).alias("engagement_score"), F.to_date(F.lit("2015-01-01")).alias("first_observed_month_date"),
+        F.add_months(F.to_date(F.lit("2015-01-01")), F.col("id").cast("int")).alias("snapshot_month_date"),
+    )
+    long = cohort.cohort_retention_long(months)
+    assert [r["months_since_first_observed"] for r in long.collect()] == list(range(20))
+    assert cohort.cohort_heatmap(long).count() == 20
+    assert cohort.cohort_retention_matrix(long, [0, 19]).columns == ["first_observed_month", "month_0", "month_19"]
+
+
 # --- Survival ------------------------------------------------------------------------------------
 
 def test_survival_reaches_zero_and_small_groups_are_left_out(spark):

@@ -49,6 +49,14 @@ def test_model_learns_a_real_signal(spark, engine):
     assert gain["feature"] == "monthly_revenue" and gain["importance_mean"] > 0.2
 
 
+def test_settings_follow_the_data(engine):
+    boosted = training.build_pipeline(engine.candidate(training.BOOSTED), engine.p.model, 1000, 70).getStages()[-1]
+    assert boosted.getMaxBins() > 70
+    *preparation, linear = training.build_pipeline(engine.candidate(training.LOGISTIC), engine.p.model, 1000, 70).getStages()
+    assert linear.getRegParam() == pytest.approx(1e-3) and not linear.getStandardization()
+    assert preparation[3].getInputCol() == "numbers"
+
+
 def test_unseen_categories_are_scored(engine):
     model = engine.model(training.BOOSTED)
     odd = engine.table("model_frame").withColumn("city", F.lit("never seen")).withColumn("age", F.lit(None).cast("double"))
