@@ -5,15 +5,15 @@ largest value are kept, so one evaluation gives two signature values that agree
 to the Jaccard similarity.  Bands of ``BAND_ROWS`` values put texts into buckets; a pair at the
 threshold of 0.8 shares no bucket with probability below 3e-6.
 
-Equal sets are one node.  In each bucket a few leaders are compared with the other members, of a
-fitting set size and not yet in the leader's component; a comparison is confirmed on the full sets.  The
-components are then updated, buckets that lie in one component are done, and the others go on with
-twice as many leaders, without those already compared.  So every two members of a bucket end up
-compared or connected, and the work is in proportion to the members, not to their pairs, wherever
-groups are alike.
+Equal sets are one node.  First, nodes are gathered into coarse clusters by a sketch of one byte per
+signature value: in each bucket a few leaders are compared with the other members that are not yet in
+the leader's cluster, buckets within one cluster are done, and the others go on with sixteen times as many
+leaders, without those already compared.  So two members of a bucket end up in one cluster or were
+compared and are far apart; the work follows the members, not their pairs.
 
-Candidates first pass a sketch: one byte per signature value.  A pair at the threshold fails it with
-probability below 1e-6.
+Then links are confirmed on the full sets: those of leaders and members at once, which joins most of a
+cluster, and what is left in blocks of bounded size.  Two blocks meet in one task, which gives at
+most a link per node; blocks inside one confirmed component do not meet.
 
 Defined results: texts without words, or null, have an empty set and are linked with nothing; a text of
 fewer words than ``width`` has its whole sequence as its one element; rows without id take part, but a
@@ -37,7 +37,12 @@ PERMUTATIONS = 128
 BAND_ROWS = 6
 BANDS_EACH = PERMUTATIONS // BAND_ROWS
 SIMILAR_PERCENT = 80
-SKETCH_AGREE = 172  # of 256; the mean at the threshold is 205, five deviations are 32
+# Of 256 sketch values 205 agree at the threshold on average; five deviations are 32.
+SKETCH_LINK = 172
+SKETCH_CLUSTER = 112
+BLOCK_ELEMENTS = 60_000
+BLOCK_NODES = 600
+COLUMNS_AT_ONCE = 4096
 BROADCAST_ROWS = 300_000
 ROUNDS = 60
 
@@ -124,38 +129,29 @@ def full_sets(texts: DataFrame, width: int) -> DataFrame:
 
 
 def agreeing(pairs: DataFrame) -> DataFrame:
-    """The pairs whose sketches agree often enough; columns a, b, sketch_a, sketch_b."""
+    """Pairs whose sketches agree often enough for one cluster; columns a, b, sketch_a, sketch_b."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, rows=4096):
             left, right = (
                 np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3)
             )
-            near = (left == right).sum(1) >= SKETCH_AGREE if batch.num_rows else np.zeros(0, bool)
-            yield batch.select(["a", "b"]).filter(pa.array(near))
-
-    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint")
-
+            agree = (left == right).sum(1)
+            counted = pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(agree, pa.int32())], ["a", "b", "agree"]
+            )
+            yield counted.filter(pa.array(agree >= SKETCH_CLUSTER))
 
-class _Sets:
-    """Full sets of the nodes that were candidates so far, read from the documents when first needed."""
+    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint, agree int")
 
-    def __init__(self, store: TableStore, df: DataFrame, text: str, doc_id: str, nodes: DataFrame, width: int):
-        self.store, self.nodes, self.width = store, nodes, width
-        self.texts = df.select(F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__key"), F.col(text).alias("text"))
-        self.known: DataFrame | None = None
 
-    def of(self, wanted: DataFrame) -> DataFrame:
-        missing = wanted if self.known is None else wanted.join(self.known, "node", "left_anti")
-        missing = self.store.write("wanted", missing.join(self.nodes.select("node", "doc_id", "text_key"), "node"))
-        n = missing.count()
-        if n:
-            if n <= BROADCAST_ROWS:  # three numbers a row; above this the texts are shuffled instead
-                missing = F.broadcast(missing)
-            same = self.texts["__id"].eqNullSafe(F.col("doc_id")) & (F.col("__key") == F.col("text_key"))
-            fresh = full_sets(self.texts.join(missing, same), self.width).dropDuplicates(["node"])
-            fresh = self.store.write("sets", fresh)
-            self.known = fresh if self.known is None else self.known.unionByName(fresh)
-        return self.known
+def read_sets(store: TableStore, df: DataFrame, text: str, doc_id: str, nodes: DataFrame, width: int) -> DataFrame:
+    """Full sets (node, elements) of some nodes, made again from the documents."""
+    wanted = store.write("wanted", nodes.select("node", "doc_id", "text_key"))
+    if wanted.count() <= BROADCAST_ROWS:  # three numbers a row; above this the texts are shuffled instead
+        wanted = F.broadcast(wanted)
+    texts = df.select(F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__key"), F.col(text).alias("text"))
+    same = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__key") == F.col("text_key"))
+    return store.write("sets", full_sets(texts.join(wanted, same), width).dropDuplicates(["node"]))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -189,48 +185,139 @@ def groups(store: TableStore, df: DataFrame, doc_id: str, text: str, width: int)
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _linked(store: TableStore, df: DataFrame, doc_id: str, text: str, width: int, nodes: DataFrame) -> DataFrame:
+def _clusters(store: TableStore, nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Coarse clusters (node, component) and the pairs (a, b, agree) that made them."""
     banded = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "value")).select(
         F.xxhash64("band", "value").alias("bucket"), "node", "n_shingles"
     )
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     open_ = store.write("buckets", banded.join(shared, "bucket"))
     sketches = nodes.select("node", "sketch")
-    sets = _Sets(store, df, text, doc_id, nodes, width)
-    links, linked = None, store.spark.createDataFrame([], "node bigint, component bigint")
+    linked, found = store.spark.createDataFrame([], "node bigint, component bigint"), None
     for level in range(ROUNDS):
         if open_.isEmpty():
-            break
-        # Leaders: the smallest node of each of 2^level parts of a bucket.
-        part = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << min(level, 40)))
-        leaders = open_.groupBy("bucket", part.alias("part")).agg(F.min("node").alias("leader"))
-        leaders = store.write("leaders", leaders.select("bucket", "leader"))
-        led = leaders.join(
-            nodes.select(F.col("node").alias("leader"), F.col("n_shingles").alias("leader_size")), "leader"
-        ).join(linked.select(F.col("node").alias("leader"), F.col("component").alias("leader_in")), "leader", "left")
-        sized = open_.join(linked, "node", "left").join(led, "bucket").filter(
-            (F.col("node") != F.col("leader"))
-            & (F.coalesce("component", "node") != F.coalesce("leader_in", "leader"))
+            return linked, found
+        # Leaders: the smallest node of each of 16^level parts of a bucket.
+        part = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << min(4 * level, 40)))
+        placed = open_.join(linked, "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
+        leaders = placed.groupBy("bucket", part.alias("part")).agg(
+            F.min(F.struct("node", "n_shingles", "own")).alias("leader")
+        )
+        leaders = store.write("leaders", leaders.select("bucket", "leader.*").toDF("bucket", "leader", "leader_size", "leader_in"))
+        led = placed.join(leaders, "bucket").filter(
+            (F.col("own") != F.col("leader_in"))
             & (100 * F.least("n_shingles", "leader_size") >= SIMILAR_PERCENT * F.greatest("n_shingles", "leader_size"))
         )
-        pairs = sized.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+        pairs = led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         near = store.write("near", agreeing(
             pairs.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
         ))
         if not near.isEmpty():
-            wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            found = store.write("links", confirmed(near, sets.of(wanted)))
+            found = near if found is None else found.unionByName(near)
             old = linked.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            links = found.unionByName(old)
-            linked = components(store, links)
-        rest = open_.join(leaders, (open_["bucket"] == leaders["bucket"]) & (F.col("node") == F.col("leader")), "left_anti")
-        placed = rest.join(linked, "node", "left").withColumn("__in", F.coalesce("component", "node")).drop("component")
-        mixed = placed.groupBy("bucket").agg(F.min("__in").alias("low"), F.max("__in").alias("high"))
-        mixed = mixed.filter("low <> high").select(F.col("bucket").alias("__bucket"))
-        open_ = store.write("buckets", placed.join(mixed, F.col("bucket") == F.col("__bucket"), "left_semi").drop("__in"))
-    else:
-        raise RuntimeError("buckets were not worked off")
-    return linked
+            linked = components(store, near.select("a", "b").unionByName(old))
+        gone = leaders.select(F.col("bucket").alias("__bucket"), "leader")
+        rest = open_.join(gone, (F.col("bucket") == F.col("__bucket")) & (F.col("node") == F.col("leader")), "left_anti")
+        rest = rest.join(linked, "node", "left").withColumn("own", F.coalesce("component", "node"))
+        mixed = rest.groupBy("bucket").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high")
+        mixed = mixed.select(F.col("bucket").alias("__bucket"))
+        kept = rest.join(mixed, F.col("bucket") == F.col("__bucket"), "left_semi")
+        open_ = store.write("buckets", kept.select("bucket", "node", "n_shingles"))
+    raise RuntimeError("buckets were not worked off")
+
+
+def _linked(store: TableStore, df: DataFrame, doc_id: str, text: str, width: int, nodes: DataFrame) -> DataFrame:
+    """Components (node, component) of the confirmed links, for nodes that have any."""
+    clusters, pairs = _clusters(store, nodes)
+    if pairs is None:
+        return clusters
+    members = clusters.withColumnRenamed("component", "cluster").join(
+        nodes.select("node", "n_shingles", "doc_id", "text_key"), "node"
+    )
+    sets = read_sets(store, df, text, doc_id, members, width)
+    links = store.write("links", confirmed(pairs.filter(F.col("agree") >= SKETCH_LINK).select("a", "b"), sets))
+    linked = components(store, links)
+
+    # What is left: clusters of more than one component.
+    placed = members.select("node", "cluster", "n_shingles").join(linked, "node", "left").withColumn(
+        "component", F.coalesce("component", "node")
+    )
+    open_ = placed.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    open_ = open_.filter("low <> high").select("cluster")
+    placed = store.write("placed", placed.join(open_, "cluster"))
+    if placed.isEmpty():
+        return linked
+    more = store.write("block_links", _block_links(store, placed, sets))
+    return components(store, links.unionByName(more))
+
+
+def _block_links(store: TableStore, placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components of one cluster, from blocks of about ``BLOCK_ELEMENTS`` elements and
+    at most about ``BLOCK_NODES`` sets.
+
+    A component that fills a block has blocks of its own, and those do not meet each other.
+    """
+    placed = placed.withColumn("cost", F.greatest("n_shingles", F.lit(BLOCK_ELEMENTS // BLOCK_NODES)))
+    sizes = placed.groupBy("cluster", "component").agg(F.sum("cost").alias("elements"))
+    own = F.when(F.col("elements") >= BLOCK_ELEMENTS, F.col("component")).otherwise(F.lit(-1))
+    tagged = placed.join(sizes, ["cluster", "component"]).withColumn("tag", own)
+    parts = tagged.groupBy("cluster", "tag").agg(
+        F.ceil(F.sum("cost") / BLOCK_ELEMENTS).cast("int").alias("parts")
+    )
+    draw = F.xxhash64("node", F.lit(23))
+    blocks = tagged.join(parts, ["cluster", "tag"]).select(
+        "cluster", "node", "tag", F.pmod(draw, F.col("parts")).cast("int").alias("part")
+    )
+    blocks = store.write("blocks", blocks)
+    kinds = blocks.select("cluster", "tag", "part").distinct()
+    other = kinds.toDF("cluster", "tag_b", "part_b")
+    ordered = (F.col("tag") < F.col("tag_b")) | ((F.col("tag") == F.col("tag_b")) & (F.col("part") <= F.col("part_b")))
+    meets = (F.col("tag") != F.col("tag_b")) | (F.col("tag") == -1)
+    # Pairs of blocks, not of rows: a cluster has a block per BLOCK_ELEMENTS elements.
+    meetings = kinds.join(other, "cluster").filter(ordered & meets).select(
+        "cluster", F.struct("tag", "part").alias("left"), F.struct("tag_b", "part_b").alias("right"),
+        F.xxhash64("cluster", "tag", "part", "tag_b", "part_b").alias("meeting"),
+    )
+    sides = meetings.select("cluster", "meeting", F.explode(F.array_distinct(F.array(
+        F.col("left"), F.struct(F.col("right.tag_b").alias("tag"), F.col("right.part_b").alias("part"))
+    ))).alias("block")).select("cluster", "meeting", "block.*")
+    rows = sides.join(blocks, ["cluster", "tag", "part"]).select("meeting", "node").join(sets, "node")
+
+    def link(table: pa.Table) -> pa.Table:
+        nodes = table["node"].to_numpy()
+        elements = [np.asarray(e, np.int64) for e in table["elements"].to_pylist()]
+        first = first_linked(elements)
+        linked = first != np.arange(len(nodes))
+        return pa.table({"a": pa.array(nodes[linked]), "b": pa.array(nodes[first[linked]])})
+
+    return rows.select("meeting", "node", "elements").groupBy("meeting").applyInArrow(link, "a bigint, b bigint")
+
+
+def first_linked(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the first one of its component under the threshold."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    owner, column = owner[shared[column]], number[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)  # counts below 2^24 are exact
+    for start in range(0, int(shared.sum()), COLUMNS_AT_ONCE):
+        low, high = np.searchsorted(column, (start, start + COLUMNS_AT_ONCE))
+        present = np.zeros((len(sets), COLUMNS_AT_ONCE), np.float32)
+        present[owner[low:high], column[low:high] - start] = 1
+        common += present @ present.T
+    similar = 100 * common >= SIMILAR_PERCENT * (sizes[:, None] + sizes[None, :] - common)
+    np.fill_diagonal(similar, True)
+    first = np.arange(len(sets))
+    while True:
+        lower = np.where(similar, first[None, :], len(sets)).min(1)
+        lower = lower[lower]
+        if (lower == first).all():
+            return first
+        first = lower
 
 
 def one_of_each(store: TableStore, df: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
