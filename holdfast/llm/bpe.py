@@ -29,7 +29,7 @@ from holdfast.llm.text import small_batches
 # Fixed value: the byte-level split pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SHIFT = 20  # ids fit in 20 bits
-MEMO_PIECES = 500_000
+MEMO_PIECES = 200_000
 MEMO_LENGTH = 48
 
 
