@@ -20,8 +20,6 @@ repeat an id are candidates of their own, but never of a query with their id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
