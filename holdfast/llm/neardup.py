@@ -167,7 +167,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def groups(store: TableStore, df: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """Every row: doc_id, text_key, n_shingles, component_id, kept."""
+    """Every row: doc_id, text_key, n_shingles, component_id, component, kept.
+
+    ``component`` tells groups apart whatever their ids; it is null for rows with an empty set.
+    """
     rows = store.write("set_rows", set_rows(df, doc_id, text, width))
     some = rows.filter("n_shingles > 0")
     nodes = store.write("nodes", some.dropDuplicates(["set_key"]).withColumn("node", F.monotonically_increasing_id()))
@@ -178,10 +181,10 @@ def groups(store: TableStore, df: DataFrame, doc_id: str, text: str, width: int)
         "component", F.coalesce("component", "node")
     )
     names = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = placed.join(names, "component").select("set_key", "component_id")
+    named = placed.join(names, "component").select("set_key", "component_id", "component")
     return rows.join(named, "set_key", "left").select(
         "doc_id", "text_key", "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component",
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -321,18 +324,27 @@ def first_linked(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def one_of_each(store: TableStore, df: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """The rows of ``df`` that stay, one of each group, with all their columns."""
-    rows = store.write("near_groups", groups(store, df, doc_id, text, width))
+    """The rows of ``df`` that stay, one of each group and all with an empty set, with all their columns.
+
+    Of a group stays the smallest id, nulls last, and of its texts the one with the smallest hash; of rows alike
+    in both, any one.
+    """
+    rows = store.write("near_groups", groups(store, df, doc_id, text, width)).filter("n_shingles > 0")
+    first = rows.groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    ).select(F.col("first.doc_id").alias("__id"), F.col("first.text_key").alias("__key"), F.lit(True).alias("stays"))
+    # One text is in one group, so id and text name the group too.
+    alike = rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))
+    alike = store.write("near_rows", alike.join(first, is_first, "left").select("doc_id", "text_key", "n", "stays"))
     same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__key"))
     keys = [F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")]
-    kept = df.join(rows.filter("not kept").select(*keys).distinct(), same, "left_anti")
-    again = rows.filter("kept and n_shingles > 0").groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1")
+    kept = df.join(alike.filter("stays is null").select(*keys), same, "left_anti")
+    again = alike.filter("stays and n > 1").select(*keys)
     if again.isEmpty():
         return kept
-    # Rows that repeat the id of the one that stays: one of them is returned.
-    again = again.select(F.col("component_id").alias("__id"))
-    repeated = kept.join(again, F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([doc_id])
-    return kept.join(again, F.col(doc_id).eqNullSafe(F.col("__id")), "left_anti").unionByName(repeated)
+    repeated = kept.join(again, same, "left_semi").dropDuplicates([doc_id, text])
+    return kept.join(again, same, "left_anti").unionByName(repeated)
 
 
 def op7_minmax_near_dedup(store: TableStore, documents: DataFrame, width: int = 2) -> DataFrame:

@@ -76,6 +76,18 @@ def test_one_of_each_group_stays(docs_of, store):
     assert sorted(r.doc_id for r in got.collect()) == sorted(want)
 
 
+def test_rows_without_id_and_one_id_on_unlike_texts_stay(docs_of, store):
+    long = " ".join(f"w{i}" for i in range(60))
+    near, far = long.replace("w30", "x"), " ".join(f"v{i}" for i in range(60))
+    rows = [
+        (None, "first text without id"), (None, "another one, unlike it"), (None, ""), (None, None), (None, ""),
+        (1, long), (1, far), (2, near), (3, far + " end"), (None, "linked without id"), (None, "linked without id"),
+    ]
+    got = neardup.one_of_each(store, docs_of(rows), "doc_id", "text", 2).collect()
+    want = [*rows[:7], (None, "linked without id")]
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_empty_table(docs_of, store):
     assert neardup.op7_minmax_near_dedup(store, docs_of([])).count() == 0
     assert neardup.op7_minmax_near_dedup(store, docs_of([(1, None)])).collect()[0][:] == (1, 0, 1, True)
