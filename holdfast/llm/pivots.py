@@ -9,13 +9,16 @@ Vectors are dealt to slices of bounded size, queries to blocks.  One task holds
 gives at most k rows per query; the best k of all slices are then picked per query.  A first pass over one
 slice gives each query a k-th score to start from, so that later slices can be left sooner.
 
-Components are floor(256 * x), so all arithmetic is exact: squared distances stay whole numbers, and the
-roots' rounding is covered by a margin.
+Components are floor(256 * x), and all scores are exact.  For vectors of a squared length below ``NEAR`` = 2^51
+squared distances are whole numbers that float64 holds, and the roots' rounding is covered by a margin.  Pairs with
+a longer vector have no bound: all of them are evaluated, in 64-bit integers.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part, as query or
-candidate; an empty vector scores 0; missing components of a shorter vector count as 0; components beyond
-2^24 in size are refused, as their products would not be exact.  Ties go to the smaller id.  Rows that
-repeat an id are candidates of their own, but never of a query with their id.
+candidate, nor do vectors without id; an empty vector scores 0; missing components of a shorter vector count as 0.
+A table with a squared length of 2^62 or more (of components, 2^31 after scaling) is refused, as a score is a bigint.
+Ties go to the smaller id.  Rows that repeat an id are candidates of their own, but never of a query with their id.
+Queries that repeat an id are all searched, and the best ``k`` of their pairs together are given, so a candidate
+that is near several of them can stand there several times.
 """
 
 from __future__ import annotations
@@ -32,7 +35,8 @@ PIVOT_SAMPLE = 2048
 SLICE_ROWS = 8192
 BLOCK_ROWS = 2048
 STEP = 256
-LARGEST = 1 << 24
+NEAR = float(1 << 51)
+LONGEST = float(1 << 62)
 _FAR = -(1 << 62)
 
 
@@ -58,6 +62,7 @@ def choose_pivots(vectors: DataFrame, width: int, count: int = PIVOTS) -> np.nda
     """Far-apart vectors among a bounded sample by hash; pivots change the speed, never the result."""
     sample = vectors.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(PIVOT_SAMPLE).toPandas()
     points = matrix(sample["v"], width)
+    points = points[(points**2).sum(1) < NEAR]
     if not len(points):
         return np.zeros((0, width))
     chosen, near = [0], ((points - points[0]) ** 2).sum(1)
@@ -72,6 +77,16 @@ def distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squared, 0))
 
 
+def products(points: np.ndarray, query: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Whole-number inner products, those of ``far`` pairs in 64-bit integers, as float64 would round them."""
+    if not far.any():
+        return (points @ query).astype(np.int64)
+    out = np.empty(len(points), np.int64)
+    out[~far] = points[~far] @ query
+    out[far] = points[far].astype(np.int64) @ query.astype(np.int64)
+    return out
+
+
 def best_of_slice(
     q_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, ids: np.ndarray, points: np.ndarray,
     pivots: np.ndarray, k: int,
@@ -82,21 +97,24 @@ def best_of_slice(
     """
     q_table, table = distances(queries, pivots), distances(points, pivots)
     q_norm, norm = (queries**2).sum(1), (points**2).sum(1)
+    far_points = norm >= NEAR
     found, scores, evaluated = [], [], 0
     for i in range(len(queries)):
         gap = np.zeros(len(points))
         for p in range(table.shape[1]):
             np.maximum(gap, np.abs(table[:, p] - q_table[i, p]), out=gap)
         bound = (q_norm[i] + norm - np.maximum(gap - 1e-6 * (1 + gap), 0) ** 2) / 2
+        far = far_points | (q_norm[i] >= NEAR)
+        bound[far] = np.inf
         open_ = np.flatnonzero((bound >= floor[i]) & (ids != q_ids[i]))
         open_ = open_[np.argsort(-bound[open_], kind="stable")]
-        best, score = np.zeros(0, np.int64), np.zeros(0)
+        best, score = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for at in range(0, len(open_), STEP):
             if len(score) >= k and bound[open_[at]] < score[k - 1]:
                 break
             step = open_[at:at + STEP]
             best = np.concatenate((best, step))
-            score = np.concatenate((score, points[step] @ queries[i]))
+            score = np.concatenate((score, products(points[step], queries[i], far[step])))
             evaluated += len(step)
             order = np.lexsort((ids[best], -score))[:k]
             best, score = best[order], score[order]
@@ -110,10 +128,10 @@ def search(store: TableStore, vectors: DataFrame, is_query, k: int) -> DataFrame
     vectors = store.write("vectors", vectors)
     facts = vectors.agg(
         F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.count_if(is_query).alias("queries"),
-        F.max(F.greatest(F.abs(F.array_max("v")), F.abs(F.array_min("v")))).alias("largest"),
+        F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("longest"),
     ).first()
-    if (facts["largest"] or 0) > LARGEST:
-        raise ValueError(f"components beyond {LARGEST} after scaling can't be scored exactly")
+    if (facts["longest"] or 0) >= LONGEST:
+        raise ValueError("scores of a vector with a squared length of 2^62 or more don't fit a bigint")
     width = max(facts["width"] or 0, 1)
     slices, blocks = -(-facts["n"] // SLICE_ROWS) or 1, -(-facts["queries"] // BLOCK_ROWS) or 1
     pivots = choose_pivots(vectors, width)
@@ -133,7 +151,7 @@ def search(store: TableStore, vectors: DataFrame, is_query, k: int) -> DataFrame
         )
         return pd.DataFrame({
             "query_id": np.repeat(q_ids, [len(f) for f in found]),
-            "vec_id": ids[np.concatenate(found)], "score": np.concatenate(scores).astype(np.int64),
+            "vec_id": ids[np.concatenate(found)], "score": np.concatenate(scores),
         })
 
     def over(parts: DataFrame, asked: DataFrame, slice_ids) -> DataFrame:

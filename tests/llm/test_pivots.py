@@ -51,6 +51,18 @@ def test_few_and_no_vectors(spark, store):
         pivots.op9_pivot_top_k(store, spark.createDataFrame([(0, [1e9])], SCHEMA))
 
 
+@pytest.mark.parametrize("slice_rows", [64, 8192])
+def test_long_vectors_are_scored_exactly(spark, store, monkeypatch, slice_rows):
+    monkeypatch.setattr(pivots, "SLICE_ROWS", slice_rows)
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 0.4) for _ in range(6)]) for i in range(250)]
+    rows += [(i, [float(np.float32(rng.uniform(1e6, 2e6))) for _ in range(6)]) for i in (250, 251, 252, 300)]
+    # Scores beyond 2^53 that differ by 1 only.
+    rows += [(400, [2.0**22, 1 / 256]), (401, [2.0**22, 1 / 256]), (402, [2.0**22, 2 / 256]), (403, [70_000.0])]
+    got = pivots.op9_pivot_top_k(store, spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows))
+
+
 def test_bounds_save_evaluations():
     rng = np.random.default_rng(5)
     centres = rng.integers(-3000, 3000, (20, 16)).astype(float)
