@@ -137,10 +137,11 @@ def search(store: TableStore, vectors: DataFrame, is_query, k: int) -> DataFrame
     pivots = choose_pivots(vectors, width)
 
     sliced = vectors.withColumn("slice", F.pmod(F.xxhash64("vec_id", F.lit(13)), F.lit(slices)).cast("int"))
-    queries = vectors.filter(is_query).select(
-        F.col("vec_id").alias("q_id"), F.col("v").alias("q"),
-        F.pmod(F.xxhash64("vec_id", F.lit(17)), F.lit(blocks)).cast("int").alias("q_block"),
-    ).dropDuplicates(["q_id"])
+    # Query rows alike are searched once; more than k of them change nothing.  The block looks at the vector too, so
+    # one id on many rows fills no block.
+    queries = store.write("queries", vectors.filter(is_query).groupBy(F.col("vec_id").alias("q_id"), F.col("v").alias("q")).agg(
+        F.least(F.count("*"), F.lit(k)).alias("times")
+    ).withColumn("q_block", F.pmod(F.xxhash64("q_id", "q", F.lit(17)), F.lit(blocks)).cast("int")))
 
     def run(_: tuple, asked: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
         ids, q_ids = given["vec_id"].to_numpy(), asked["q_id"].to_numpy()
@@ -149,9 +150,10 @@ def search(store: TableStore, vectors: DataFrame, is_query, k: int) -> DataFrame
         found, scores, _ = best_of_slice(
             q_ids, matrix(asked["q"], width), asked["floor"].to_numpy(), ids, matrix(given["v"], width), pivots, k
         )
+        times = np.repeat(asked["times"].to_numpy(), [len(f) for f in found])
         return pd.DataFrame({
-            "query_id": np.repeat(q_ids, [len(f) for f in found]),
-            "vec_id": ids[np.concatenate(found)], "score": np.concatenate(scores),
+            "query_id": np.repeat(np.repeat(q_ids, [len(f) for f in found]), times),
+            "vec_id": np.repeat(ids[np.concatenate(found)], times), "score": np.repeat(np.concatenate(scores), times),
         })
 
     def over(parts: DataFrame, asked: DataFrame, slice_ids) -> DataFrame:
@@ -167,7 +169,7 @@ def search(store: TableStore, vectors: DataFrame, is_query, k: int) -> DataFrame
     floors = seeds.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") == k)
     floors = store.write("floors", floors.select("query_id", F.col("score").cast("double").alias("floor")))
     asked = queries.join(floors, F.col("q_id") == F.col("query_id"), "left").select(
-        "q_id", "q", "q_block", F.coalesce("floor", F.lit(float(_FAR))).alias("floor")
+        "q_id", "q", "q_block", "times", F.coalesce("floor", F.lit(float(_FAR))).alias("floor")
     )
     every = over(sliced, asked, F.sequence(F.lit(0), F.lit(slices - 1)))
     return every.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k).select(

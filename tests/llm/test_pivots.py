@@ -63,6 +63,22 @@ def test_long_vectors_are_scored_exactly(spark, store, monkeypatch, slice_rows):
     assert sorted(map(tuple, got)) == sorted(brute(rows))
 
 
+@pytest.mark.parametrize("block_rows", [2, 2048])
+def test_queries_that_repeat_an_id_like_the_sql_form(spark, store, monkeypatch, block_rows):
+    monkeypatch.setattr(pivots, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(pivots, "SLICE_ROWS", 32)
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 0.4) for _ in range(4)]) for i in range(120)]
+    rows += [(50, [2.0, 2.0, 0.0, 0.0]), (50, [-2.0, 0.0, 2.0, 0.0]), *[(100, [0.0, 0.0, 0.0, 3.0])] * 7, (None, [9.0] * 4)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", [list(r) for r in rows])
+    want = con.execute(pivots.OP9_SQL).fetchall()
+    got = pivots.op9_pivot_top_k(store, frame).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_bounds_save_evaluations():
     rng = np.random.default_rng(5)
     centres = rng.integers(-3000, 3000, (20, 16)).astype(float)
