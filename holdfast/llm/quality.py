@@ -5,9 +5,9 @@ further characters by class), hashed into a fixed number of weights.  A feature'
 of the text's runs of that kind, so long and short texts compare.  Two equal neighbours count as one
 special run, whatever the word.
 
-Training updates follow the regularised leader per coordinate.  The labelled rows, at most ``MAX_ROWS``
-by hash, are dealt to shards of about ``SHARD_ROWS``; each shard learns by itself in one task and the
-weights are averaged.  Scoring is one pass over the documents with the weights, whose number is fixed.
+Training updates follow the regularised leader per coordinate.  The labelled rows, about ``MAX_ROWS`` at
+most by hash and one of those alike in id and text, are dealt to shards of about ``SHARD_ROWS``; each shard
+learns by itself in one task and the weights are averaged.  Scoring is one pass over the documents with the weights, whose number is fixed.
 
 Only the text is looked at.  Defined results: a null or empty text gets the score of the intercept; rows
 without id are never held out nor trained on; several labels of one id count by their mean; without any
@@ -136,20 +136,39 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> np.ndarray | None:
-    """Averaged weights, or None without labels; ids that are held out are not used."""
+def training_rows(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> DataFrame | None:
+    """The sample (__id, __text, __label, __shard), or None if nothing is labelled; held-out ids are not used.
+
+    Ids are sampled first, which bounds the broadcast side; an id may stand on any number of texts, so the joined
+    rows are counted and sampled too.
+    """
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     known = known.groupBy(F.col(doc_id).alias("__id")).agg((F.avg(label) >= 0.5).cast("int").alias("__label"))
-    rows = known.count()
+    ids = known.count()
+    if not ids:
+        return None
+
+    def share(n: int, *by) -> Column:
+        return F.pmod(F.xxhash64(*by), F.lit(1 << 30)) < int((1 << 30) * min(1, MAX_ROWS / n))
+
+    known = known.filter(share(ids, "__id", F.lit(3)))
+    sample = documents.select(
+        F.col(doc_id).alias("__id"), F.col(text).alias("__text"), F.xxhash64(text).alias("__key")
+    ).join(F.broadcast(known), "__id")  # about MAX_ROWS rows of two numbers
+    rows = sample.select("__id", "__key").distinct().count()
     if not rows:
         return None
-    share = F.pmod(F.xxhash64("__id", F.lit(3)), F.lit(1 << 30))
-    shards = max(1, -(-min(rows, MAX_ROWS) // SHARD_ROWS))
-    if rows > MAX_ROWS:
-        known = known.filter(share < int((1 << 30) * MAX_ROWS / rows))
-    sample = documents.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(
-        F.broadcast(known), "__id"  # about MAX_ROWS rows of two numbers
-    ).withColumn("__shard", F.pmod(F.xxhash64("__id", F.lit(5)), F.lit(shards)))
+    shards = -(-min(rows, MAX_ROWS) // SHARD_ROWS)
+    sample = sample.filter(share(rows, "__id", "__key", F.lit(9))).dropDuplicates(["__id", "__key"])
+    shard = F.pmod(F.xxhash64("__id", "__key", F.lit(5)), F.lit(shards))
+    return sample.select("__id", "__text", "__label", shard.alias("__shard"))
+
+
+def train(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> np.ndarray | None:
+    """Averaged weights, or None without labelled rows."""
+    sample = training_rows(documents, labels, doc_id, text, label)
+    if sample is None:
+        return None
 
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by([("__id", "ascending"), ("__text", "ascending")])

@@ -49,6 +49,18 @@ def test_held_out_rows_are_told_apart(docs_of, labelled):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_an_id_on_many_rows_does_not_fill_a_shard(docs_of, spark, monkeypatch):
+    monkeypatch.setattr(quality, "MAX_ROWS", 400)
+    monkeypatch.setattr(quality, "SHARD_ROWS", 100)
+    docs = [(1, f"text {i}") for i in range(3000)] + [(3, "the same text")] * 2000 + [(i, f"t {i}") for i in range(4, 60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    assert not any(zlib.crc32(str(i).encode()) % 4 == 2 for i in (1, 3))
+    rows = quality.training_rows(docs_of(docs), labels, "doc_id", "text", "quality").collect()
+    assert 300 < len(rows) < 500 and len({(r[0], r[1]) for r in rows}) == len(rows)
+    sizes = [sum(r["__shard"] == s for r in rows) for s in range(4)]
+    assert sum(sizes) == len(rows) and max(sizes) < 150
+
+
 def test_without_labels_nothing_is_rejected(docs_of, labelled):
     docs, labels = labelled
     assert {r.predicted for r in quality.op1_quality(docs_of(docs), labels.limit(0)).collect()} == {1}
