@@ -181,7 +181,11 @@ def mix(store: TableStore, df: DataFrame, doc_id: str, text: str, source: str, c
 
 
 def repeat(store: TableStore, df: DataFrame, doc_id: str, text: str, source: str, cap: int = CAP) -> DataFrame:
-    """The mix itself: rows of ``df`` with all their columns, each as often as its copies say."""
+    """The mix itself: rows of ``df`` with all their columns, each as often as its copies say.
+
+    Rows alike in id, text and source have copies that differ by one at most; which of them have one more is
+    settled by a hash of all columns.
+    """
     copies = mix(store, df, doc_id, text, source, cap).groupBy("doc_id", "text_key", "source").agg(
         F.sum("copies").alias("__times"), F.count("*").alias("__rows")
     ).filter("__times > 0")
@@ -189,11 +193,22 @@ def repeat(store: TableStore, df: DataFrame, doc_id: str, text: str, source: str
     wanted = store.write("copies", copies.select(
         F.struct("doc_id", "text_key", "source").alias("__key"), "__times", "__rows"
     ))
-    taken = df.join(wanted, key.eqNullSafe(F.col("__key"))).drop("__key")
-    if not wanted.filter("__rows > 1").isEmpty():  # rows alike in id, text and source share their copies
-        alike = taken.filter("__rows > 1").dropDuplicates([doc_id, text, source])
-        taken = taken.filter("__rows = 1").unionByName(alike)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__times")))).select(*df.columns)
+    taken = df.join(wanted, key.eqNullSafe(F.col("__key")))
+    single = taken.filter("__rows = 1").select(*df.columns, "__times")
+    if not wanted.filter("__rows > 1").isEmpty():
+        # Rows alike in everything are told apart by where they stand, so a hot one is still numbered by many tasks.
+        alike = taken.filter("__rows > 1").select(
+            "__key", F.xxhash64(*df.columns).alias("__draw"), F.monotonically_increasing_id().alias("__place"),
+            F.struct(*df.columns).alias("__row"), "__times", "__rows",
+        )
+        numbered = number_rows(store, "alike", alike, [Key("__key"), Key("__draw"), Key("__place")]).frame
+        first = numbered.groupBy(F.col("__key").alias("__of")).agg(F.min(ROW_NO).alias("__first"))
+        more = (F.col(ROW_NO) - F.col("__first") < F.col("__times") % F.col("__rows")).cast("bigint")
+        each = numbered.join(first, F.col("__key").eqNullSafe(F.col("__of"))).select(
+            "__row.*", (F.floor(F.col("__times") / F.col("__rows")) + more).alias("__times")
+        )
+        single = single.unionByName(each.filter("__times > 0"))
+    return single.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__times")))).select(*df.columns)
 
 
 def op2_entropy_mix(store: TableStore, documents: DataFrame) -> DataFrame:

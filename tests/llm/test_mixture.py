@@ -69,6 +69,23 @@ def test_the_mix_repeats_rows(docs_of, store, corpus):
     assert mixed.count() == want
 
 
+def test_rows_alike_but_for_other_columns_keep_their_own_copies(spark, docs_of, store):
+    from collections import Counter
+
+    rows = [(i, "w " * (1 + i % 5), "ab"[i % 2]) for i in range(60)]
+    docs = docs_of(rows).withColumn("row_no", F.lit("own"))
+    for n, lang in enumerate(("de", "fr", "nl")):
+        docs = docs.unionByName(docs_of([(3, "w w w w ", "b"), (None, "w w", "b")]).withColumn("lang", F.lit(lang)).withColumn("row_no", F.lit("own")))
+    copies = {}
+    for r in mixture.op2_entropy_mix(store, docs).collect():
+        copies.setdefault((r.doc_id, r.source, r.size), []).append(r.copies)
+    got = Counter((r.doc_id, r.source, len(r.text.split()), r.lang) for r in mixture.repeat(store, docs, "doc_id", "text", "source").collect())
+    for (doc_id, source, size), each in copies.items():
+        variants = sorted(v for (d, s, z, _), v in got.items() if (d, s, z) == (doc_id, source, size))
+        assert variants == sorted(c for c in each if c), (doc_id, source)
+    assert len(copies[3, "b", 4]) == 4 and sum(copies[3, "b", 4]) > 1 and sum(copies[None, "b", 2]) > 1
+
+
 def test_empty_table(docs_of, store):
     assert mixture.op2_entropy_mix(store, docs_of([])).count() == 0
     assert mixture.repeat(store, docs_of([]), "doc_id", "text", "source").count() == 0
