@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.config import ModelSettings
@@ -158,7 +158,7 @@ def permutation_importance(store: TableStore, test: DataFrame, features: Sequenc
             "x", lambda v, at: F.when(at == F.col("i"), F.element_at("donor", at + 1)).otherwise(v)
         ).alias("x")))
     scored = score_of(reduce(DataFrame.unionByName, parts))
-    areas = store.write("importance_areas", _auc_by_group(scored, ["i", "feature", "repeat"]))
+    areas = store.write("importance_areas", _auc_by_group(store, scored, ["i", "feature", "repeat"]))
     baseline = areas.filter(F.col("i") == -1).select(F.col("roc_auc").alias("full_auc"))
     lost = areas.filter(F.col("i") >= 0).crossJoin(baseline).withColumn(  # a one-row side
         "drop", F.col("full_auc") - F.col("roc_auc")
@@ -184,17 +184,15 @@ def model_importance(store: TableStore, model: PipelineModel, c: Candidate, test
     return permutation_importance(store, test, c.features, vector_of, score_of, s)
 
 
-#: Digits of a score that importance looks at, which bounds the distinct scores of a group.
-SCORE_DIGITS = 6
-
-
-def _auc_by_group(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """ROC-AUC of every group; only counts per rounded score are ordered, at most a million per group."""
-    ties = scored.groupBy(*keys, F.round(P, SCORE_DIGITS).alias(P)).agg(F.count("*").alias("n"), F.sum(TARGET).alias("pos"))
-    upward = Window.partitionBy(*keys).orderBy(P).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ties.withColumn("last", F.sum("n").over(upward))
-    average = F.col("last") - (F.col("n") - 1) / 2
-    sums = ranked.groupBy(*keys).agg(
+def _auc_by_group(store: TableStore, scored: DataFrame, keys: list[str]) -> DataFrame:
+    """ROC-AUC of every group from its counts per exact score, which are totalled in one global order."""
+    ties = scored.groupBy(*keys, P).agg(F.count("*").alias("n"), F.sum(TARGET).alias("pos"))
+    order = [Key(k) for k in (*keys, P)]
+    ranked = number_rows(store, "importance_scores", ties, order, {"last": "n"}).frame
+    # A row per feature and repeat.
+    before = ranked.groupBy(*keys).agg(F.min(F.col("last") - F.col("n")).alias("before"))
+    average = F.col("last") - F.col("before") - (F.col("n") - 1) / 2
+    sums = ranked.join(F.broadcast(before), keys).groupBy(*keys).agg(
         F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum(F.col("pos") * average).alias("ranks")
     )
     pos, neg = F.col("pos"), F.col("n") - F.col("pos")

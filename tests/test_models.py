@@ -49,6 +49,18 @@ def test_model_learns_a_real_signal(spark, engine):
     assert gain["feature"] == "monthly_revenue" and gain["importance_mean"] > 0.2
 
 
+def test_importance_tells_very_close_scores_apart(spark, store):
+    s = replace(FIXTURE.model, importance_repeats=2)
+    rows = [(f"c{i:03}", int(i >= 150), [float(i), 1.0]) for i in range(200)]
+    frame = spark.createDataFrame(rows, f"customer_id string, {churn_data.TARGET} int, x array<double>")
+    gain = training.permutation_importance(
+        store, frame, ("place", "nothing"), lambda rows: rows,
+        lambda rows: rows.withColumn(training.P, 1e-9 * F.element_at("x", 1)), s,
+    ).collect()
+    assert [r["feature"] for r in gain] == ["place", "nothing"]
+    assert gain[0]["importance_mean"] > 0.3 and gain[1]["importance_mean"] == 0
+
+
 def test_settings_follow_the_data(engine):
     boosted = training.build_pipeline(engine.candidate(training.BOOSTED), engine.p.model, 1000, 70).getStages()[-1]
     assert boosted.getMaxBins() > 70
