@@ -5,7 +5,8 @@ a priority queue ordered by (merge rank, position).  The smallest entry is poppe
 pair no longer stands there, and otherwise merged; the two new neighbour pairs are pushed.
 
 Texts are first split at the added tokens' strings, then by the byte-level pattern.  Most pieces
-repeat, so each task keeps the result of frequent short pieces in a memo of bounded size.
+repeat, so each worker keeps the results of short pieces in a memo of bounded size.  Decoding looks all ids
+of a batch up in one array of vocabulary strings; their joined bytes are cut at the ends of the rows.
 
 Defined results: a null text counts as empty, an empty text has no tokens, ids outside the
 vocabulary decode to nothing, and bytes that are not UTF-8 decode to the replacement character.
@@ -18,18 +19,22 @@ from array import array
 from collections.abc import Callable, Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from holdfast.llm.tables import locate
 from holdfast.llm.text import small_batches
 
 # Fixed value: the byte-level split pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SHIFT = 20  # ids fit in 20 bits
-MEMO_PIECES = 200_000
+#: Pieces of at most 48 characters in a memo: some 60 MB with usual words, 200 MB at the very most.
+MEMO_PIECES = 300_000
 MEMO_LENGTH = 48
 
 
@@ -43,50 +48,73 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
-def merge(symbols: list[int], ranks: dict[int, int], results: list[int]) -> int:
-    """Merges ``symbols`` in place as far as the ranks go; merged-away places become -1.
-
-    ``ranks`` maps a packed pair to its rank, ``results`` a rank to the new symbol.  Returns the
-    number of merges.
-    """
-    n = len(symbols)
-    look = ranks.get
-    heap = [
-        rank * n + i
-        for i, rank in enumerate([look(a << _SHIFT | b) for a, b in zip(symbols, symbols[1:])])
-        if rank is not None
-    ]
-    if not heap:
-        return 0
-    heapify(heap)
-    after = list(range(1, n + 1))
-    before = list(range(-1, n))
-    merges = 0
-    while heap:
-        entry = heappop(heap)
-        rank = entry // n
-        i = entry - rank * n
-        left = symbols[i]
-        if left < 0:
-            continue  # stale: merged away
-        j = after[i]
-        if j >= n or look(left << _SHIFT | symbols[j]) != rank:
-            continue  # stale: another pair stands there now
-        symbols[i] = new = results[rank]
-        symbols[j] = -1
-        merges += 1
-        after[i] = j = after[j]
-        if j < n:
+class Merges:
+    """Merge ranks by left and right symbol; ``results`` gives the new symbol of a rank."""
+
+    def __init__(self, ranks: dict[int, int], results: list[int]):
+        self.results = results
+        self.gone = 1 + max([r >> _SHIFT for r in ranks] + [r & (1 << _SHIFT) - 1 for r in ranks] + results, default=0)
+        nothing: dict[int, int] = {}
+        self.after: list[dict[int, int]] = [nothing] * (self.gone + 1)  # the last one is for merged-away symbols
+        for pair, rank in ranks.items():
+            left = pair >> _SHIFT
+            if self.after[left] is nothing:
+                self.after[left] = {}
+            self.after[left][pair & (1 << _SHIFT) - 1] = rank
+
+    def merge(self, symbols: list[int]) -> int:
+        """Merges ``symbols`` in place as far as the ranks go and returns the number of merges.
+
+        Merged-away places become ``gone``.
+        """
+        n = len(symbols)
+        if n < 2:
+            return 0
+        ranks, gone = self.after, self.gone
+        heap, place, known = [], 0, ranks[symbols[0]]
+        for symbol in symbols[1:]:
+            if symbol in known:
+                heap.append(known[symbol] * n + place)
+            place += 1
+            known = ranks[symbol]
+        if not heap:
+            return 0
+        heapify(heap)
+        results = self.results
+        following = list(range(1, n + 1))
+        before = list(range(-1, n))
+        symbols.append(gone)
+        merges = 0
+        while heap:
+            entry = heappop(heap)
+            rank = entry // n
+            i = entry - rank * n
+            j = following[i]
+            if ranks[symbols[i]].get(symbols[j]) != rank:
+                continue  # stale: merged away, or another pair stands there now
+            symbols[i] = new = results[rank]
+            symbols[j] = gone
+            merges += 1
+            following[i] = j = following[j]
             before[j] = i
-            rank = look(new << _SHIFT | symbols[j])
-            if rank is not None:
-                heappush(heap, rank * n + i)
-        h = before[i]
-        if h >= 0:
-            rank = look(symbols[h] << _SHIFT | new)
-            if rank is not None:
-                heappush(heap, rank * n + h)
-    return merges
+            known, right = ranks[new], symbols[j]
+            if right in known:
+                heappush(heap, known[right] * n + i)
+            h = before[i]
+            if h >= 0:
+                known = ranks[symbols[h]]
+                if new in known:
+                    heappush(heap, known[new] * n + h)
+        symbols.pop()
+        return merges
+
+
+def merge(symbols: list[int], ranks: dict[int, int], results: list[int]) -> int:
+    """Merges one list in place by packed pairs; merged-away places become -1."""
+    merges = Merges(ranks, results)
+    done = merges.merge(symbols)
+    symbols[:] = [-1 if s == merges.gone else s for s in symbols]
+    return done
 
 
 class Vocabulary:
@@ -95,22 +123,17 @@ class Vocabulary:
     _loaded: dict[str, Vocabulary] = {}
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            content = json.load(file)
+        content = _content(path)
         vocab = content["model"]["vocab"]
-        symbols = byte_symbols()
-        self.byte_id = [vocab[s] for s in symbols]
-        value = {s: b for b, s in enumerate(symbols)}
-        self.ranks: dict[int, int] = {}
-        self.results: list[int] = []
+        self.byte_id = [vocab[s] for s in byte_symbols()]
+        ranks: dict[int, int] = {}
+        results: list[int] = []
         for pair in content["model"]["merges"]:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks.setdefault(vocab[left] << _SHIFT | vocab[right], len(self.results))
-            self.results.append(vocab[left + right])
+            ranks.setdefault(vocab[left] << _SHIFT | vocab[right], len(results))
+            results.append(vocab[left + right])
+        self.merges = Merges(ranks, results)
         self.added = {t["content"]: t["id"] for t in content["added_tokens"]}
-        strings = {i: bytes(map(value.__getitem__, s)) for s, i in vocab.items() if s not in self.added}
-        strings |= {i: s.encode() for s, i in self.added.items()}
-        self.token_bytes = [strings.get(i, b"") for i in range(max(strings) + 1)]
         self.split = regex.compile(PATTERN)
         added = sorted(self.added, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
@@ -130,13 +153,15 @@ class Vocabulary:
 
     def count_piece(self, piece: str) -> int:
         symbols = self.symbols(piece)
-        return len(symbols) - merge(symbols, self.ranks, self.results)
+        return len(symbols) - self.merges.merge(symbols)
 
     def encode_piece(self, piece: str) -> bytes:
         """The piece's ids as packed 32-bit integers."""
         symbols = self.symbols(piece)
-        merge(symbols, self.ranks, self.results)
-        return array("i", [s for s in symbols if s >= 0]).tobytes()
+        if self.merges.merge(symbols):
+            gone = self.merges.gone
+            symbols = [s for s in symbols if s != gone]
+        return array("i", symbols).tobytes()
 
     def segments(self, text: str) -> Iterator[tuple[str, int | None]]:
         """The text cut at added tokens: (plain text, None) or (token string, its id)."""
@@ -148,33 +173,68 @@ class Vocabulary:
                 yield part, self.added.get(part)
 
 
+class Strings:
+    """The vocabulary strings of a file as one array, loaded once per Python worker; no merges are read."""
+
+    _loaded: dict[str, pa.LargeBinaryArray] = {}
+
+    @classmethod
+    def load(cls, path: str) -> pa.LargeBinaryArray:
+        if path not in cls._loaded:
+            content = _content(path)
+            value = {s: b for b, s in enumerate(byte_symbols())}
+            added = {t["content"]: t["id"] for t in content["added_tokens"]}
+            strings = {
+                i: bytes(map(value.__getitem__, s)) for s, i in content["model"]["vocab"].items() if s not in added
+            }
+            strings |= {i: s.encode() for s, i in added.items()}
+            cls._loaded[path] = pa.array([strings.get(i, b"") for i in range(max(strings) + 1)], pa.large_binary())
+        return cls._loaded[path]
+
+
+def _content(path: str) -> dict:
+    with open(locate(path), encoding="utf-8") as file:
+        return json.load(file)
+
+
 class Memo:
     """Results of short pieces, for a bounded number of pieces.
 
-    When it is full the younger half is forgotten: pieces met early are mostly the frequent ones.
+    Half of it keeps what comes first, which is mostly frequent.  The other half goes by use, in two
+    generations: what a full generation holds is forgotten unless it is met again while the next one fills.
     """
 
     def __init__(self, make: Callable[[str], object], size: int = MEMO_PIECES):
         self.make, self.size = make, size
         self.kept: dict[str, object] = {}
+        self.recent: dict[str, object] = {}
+        self.older: dict[str, object] = {}
 
     def of(self, pieces: list[str]) -> list:
         kept = self.kept
         found = list(map(kept.get, pieces))
         if None in found:
-            make = self.make
+            recent, older, make = self.recent, self.older, self.make
+            half, quarter = self.size // 2, self.size // 4
             for at, value in enumerate(found):
                 if value is None:
                     piece = pieces[at]
-                    value = kept.get(piece)
+                    value = recent.get(piece)
+                    if value is None:
+                        value = kept.get(piece)
                     if value is None:
-                        value = make(piece)
+                        value = older.get(piece)
+                        if value is None:
+                            value = make(piece)
                         if len(piece) <= MEMO_LENGTH:
-                            kept[piece] = value
+                            if len(kept) < half:
+                                kept[piece] = value
+                            else:
+                                recent[piece] = value
+                                if len(recent) >= quarter:
+                                    self.older = older = recent
+                                    self.recent = recent = {}
                     found[at] = value
-            if len(kept) > self.size:
-                for piece in list(kept)[self.size // 2:]:
-                    del kept[piece]
         return found
 
 
@@ -203,19 +263,8 @@ def encode(df: DataFrame, text: str, path: str, into: str = "ids") -> DataFrame:
     """Adds the token ids of ``text`` as an integer array; ``text`` itself is dropped."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary.load(path)
-        memo = vocabulary.codes
-        added = {i: array("i", [i]).tobytes() for i in vocabulary.added.values()}
         for batch in small_batches(batches):
-            packed = []
-            for value in batch.column(text).to_pylist():
-                packed.append(b"".join(
-                    part_ids
-                    for part, special in vocabulary.segments(value or "")
-                    for part_ids in (
-                        (added[special],) if special is not None else memo.of(vocabulary.split.findall(part))
-                    )
-                ))
-            yield _with(batch.drop_columns([text]), into, _integer_lists(packed))
+            yield _with(batch.drop_columns([text]), into, _encoded(vocabulary, batch.column(text)))
 
     kept = [f for f in df.schema.fields if f.name != text]
     return df.mapInArrow(run, T.StructType([*kept, T.StructField(into, T.ArrayType(T.IntegerType()))]))
@@ -224,35 +273,72 @@ def encode(df: DataFrame, text: str, path: str, into: str = "ids") -> DataFrame:
 def decode(df: DataFrame, ids: str, path: str, into: str = "decoded") -> DataFrame:
     """Adds the text of an id array: the concatenated vocabulary strings; ``ids`` is kept."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings = Vocabulary.load(path).token_bytes
+        strings = Strings.load(path)
         for batch in small_batches(batches):
-            texts = [
-                b"".join([strings[i] for i in row]).decode("utf-8", "replace")
-                for row in _id_rows(batch.column(ids), len(strings))
-            ]
-            yield _with(batch, into, pa.array(texts, pa.string()))
+            yield _with(batch, into, _decoded(strings, batch.column(ids)))
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.StringType())]))
 
 
-def _id_rows(column: pa.ListArray, known: int) -> Iterator[list[int]]:
-    """The ids of each row without nulls and ids that the vocabulary does not have."""
-    for row in column:
-        values = row.values
-        if values is None or not len(values):
-            yield []
-            continue
-        ids = values.drop_null().to_numpy()
-        yield ids[(ids >= 0) & (ids < known)].tolist()
-
+def encode_decode(
+    df: DataFrame, text: str, path: str, ids: str = "ids", decoded: str = "decoded"
+) -> DataFrame:
+    """``encode`` and ``decode`` in one node, so a task needs one Python worker; ``text`` is dropped."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, strings = Vocabulary.load(path), Strings.load(path)
+        for batch in small_batches(batches):
+            coded = _encoded(vocabulary, batch.column(text))
+            yield _with(_with(batch.drop_columns([text]), ids, coded), decoded, _decoded(strings, coded))
+        pa.default_memory_pool().release_unused()
 
-def _integer_lists(packed: list[bytes]) -> pa.Array:
-    offsets = array("i", [0])
-    for p in packed:
-        offsets.append(offsets[-1] + len(p) // 4)
-    values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(packed))])
-    starts = pa.Array.from_buffers(pa.int32(), len(offsets), [None, pa.py_buffer(offsets.tobytes())])
-    return pa.ListArray.from_arrays(starts, values)
+    kept = [f for f in df.schema.fields if f.name != text]
+    return df.mapInArrow(run, T.StructType([
+        *kept, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())
+    ]))
+
+
+def _encoded(vocabulary: Vocabulary, texts: pa.StringArray) -> pa.ListArray:
+    """The ids of every text."""
+    memo, split = vocabulary.codes, vocabulary.split.findall
+    packed, lengths = [], []
+    for value in texts.to_pylist():
+        coded = b"".join([
+            piece
+            for part, special in vocabulary.segments(value or "")
+            for piece in ((array("i", [special]).tobytes(),) if special is not None else memo.of(split(part)))
+        ])
+        packed.append(coded)
+        lengths.append(len(coded) // 4)
+    values = np.frombuffer(b"".join(packed), np.int32)
+    # A batch is cut by bytes and no text has more tokens than bytes, so 32-bit offsets hold.
+    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32), values)
+
+
+def joined_strings(strings: pa.LargeBinaryArray, ids: pa.ListArray) -> pa.LargeBinaryArray:
+    """The joined vocabulary strings of every id list; nulls and ids that the vocabulary does not have give nothing."""
+    lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate(([0], np.cumsum(lengths)))
+    flat = ids.flatten()
+    known = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(strings))), False)
+    if len(known) and not pc.all(known).as_py():
+        known_before = np.concatenate(([0], np.cumsum(known.to_numpy(zero_copy_only=False))))
+        flat, ends = flat.filter(known), known_before[ends]
+    if not len(flat):
+        return pa.array([b""] * len(ids), pa.large_binary())
+    found = strings.take(flat)
+    _, offsets, joined = found.buffers()
+    at = np.frombuffer(offsets, np.int64)[found.offset:][: len(found) + 1]
+    cuts = pa.py_buffer((at[ends] - at[0]).tobytes())
+    raw = pa.py_buffer(b"") if joined is None else joined.slice(int(at[0]), int(at[-1] - at[0]))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, cuts, raw])
+
+
+def _decoded(strings: pa.LargeBinaryArray, ids: pa.ListArray) -> pa.Array:
+    texts = joined_strings(strings, ids)
+    try:
+        return texts.cast(pa.string())
+    except pa.ArrowInvalid:  # not all of it is UTF-8
+        return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
 
 
 def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
@@ -262,7 +348,7 @@ def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
 def op4_bpe_encode_decode(documents: DataFrame, path: str) -> DataFrame:
     """Ids and round-tripped text of every document, as digests."""
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = decode(encode(texts, "text", path), "ids", path)
+    coded = encode_decode(texts, "text", path)
     return coded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from holdfast.functions.literals import literal_rows
 from holdfast.llm.bpe import byte_symbols
+from holdfast.llm.tables import locate
 from holdfast.llm.text import small_batches
 from holdfast.plans.store import TableStore
 
@@ -151,7 +152,7 @@ class LibraryWords:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(locate(path))
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.merge = self.tokenizer.model.tokenize

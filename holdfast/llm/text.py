@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text hashed at once; bounds the arrays of a task, a single longer text is cut between words.
 BLOCK_BYTES = 1 << 20
@@ -140,8 +141,28 @@ def binary_texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Slices Arrow batches, so that what is built per batch stays small."""
+def small_batches(
+    batches: Iterable[pa.RecordBatch], rows: int = 512, size: int = 8 << 20
+) -> Iterator[pa.RecordBatch]:
+    """Slices Arrow batches to at most ``rows`` rows and about ``size`` bytes, so that what is built per batch
+    stays small; a longer row stands alone."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends = np.cumsum(_row_bytes(batch))
+        at = 0
+        while at < batch.num_rows:
+            base = ends[at - 1] if at else 0
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + size, "right"))), batch.num_rows)
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def _row_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of the texts and lists of every row."""
+    total = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        kind = column.type
+        if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+            total += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(kind) or pa.types.is_large_list(kind):
+            total += 8 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return total
