@@ -3,24 +3,16 @@
 Every round links the neighbours above a node to the smallest node near it, then the neighbours below
 it, until each node points straight at the smallest node of its component.  Only minima are
 aggregated and rows are joined to them one by one, so a node with very many links fills no task.
-
-A table counted to have at most ``ONE_TASK_LINKS`` links (16 bytes each) is labelled in one task instead,
-which spares the rounds; the result is the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.plans.store import TableStore
 
 ROUNDS = 60
-ONE_TASK_LINKS = 1_000_000
 
 
 def components(store: TableStore, links: DataFrame) -> DataFrame:
@@ -28,9 +20,7 @@ def components(store: TableStore, links: DataFrame) -> DataFrame:
 
     Links of a node to itself and nulls say nothing and are left out; without links no row results.
     """
-    edges = store.write("edges", links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
-    if edges.count() <= ONE_TASK_LINKS:
-        return store.write("components", edges.coalesce(1).mapInArrow(_label, "node bigint, component bigint"))
+    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     edges = store.write("edges", edges.distinct())
     for _ in range(ROUNDS):
         if _settled(edges):
@@ -39,37 +29,17 @@ def components(store: TableStore, links: DataFrame) -> DataFrame:
             )
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = store.write("large_star", large)
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = store.write("small_star", small.unionByName(below.select("u", F.col("m").alias("v"))).distinct())
+        edges = store.write("stars", small.unionByName(below.select("u", F.col("m").alias("v"))).distinct())
     raise RuntimeError("components did not settle")
 
 
-def _label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The smallest node of each node's component, for a bounded table of links."""
-    table = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if not table:
-        return
-    upper, lower = (np.concatenate(side) for side in zip(*table))
-    nodes, place = np.unique(np.concatenate((upper, lower)), return_inverse=True)
-    upper, lower = np.split(place, 2)
-    label = np.arange(len(nodes))
-    while True:
-        least = np.minimum(label[upper], label[lower])
-        new = label.copy()
-        for side in (upper, lower, label[upper], label[lower]):
-            np.minimum.at(new, side, least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "component"])
-
-
 def _settled(edges: DataFrame) -> bool:
     """Each node has one link down, and no link's lower end goes further down."""
-    if not edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        return False
-    return edges.select(F.col("v").alias("lower")).join(edges, F.col("lower") == F.col("u"), "left_semi").isEmpty()
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("low")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("low"))
+    )
+    moves = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("low").alias("low"))
+    return moves.filter("up > 1 or (up = 1 and low = 1)").isEmpty()

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm.components import components
+from holdfast.llm.tables import free_names
 from holdfast.llm.text import binary_texts, hashed_words, mix, shingles, small_batches
 from holdfast.plans.store import TableStore
 
@@ -43,7 +44,6 @@ SKETCH_CLUSTER = 112
 BLOCK_ELEMENTS = 60_000
 BLOCK_NODES = 600
 COLUMNS_AT_ONCE = 4096
-BROADCAST_ROWS = 300_000
 ROUNDS = 60
 
 _RANDOM = np.random.default_rng(2_718)
@@ -146,9 +146,7 @@ def agreeing(pairs: DataFrame) -> DataFrame:
 
 def read_sets(store: TableStore, df: DataFrame, text: str, doc_id: str, nodes: DataFrame, width: int) -> DataFrame:
     """Full sets (node, elements) of some nodes, made again from the documents."""
-    wanted = store.write("wanted", nodes.select("node", "doc_id", "text_key"))
-    if wanted.count() <= BROADCAST_ROWS:  # three numbers a row; above this the texts are shuffled instead
-        wanted = F.broadcast(wanted)
+    wanted = nodes.select("node", "doc_id", "text_key").hint("merge")
     texts = df.select(F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__key"), F.col(text).alias("text"))
     same = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__key") == F.col("text_key"))
     return store.write("sets", full_sets(texts.join(wanted, same), width).dropDuplicates(["node"]))
@@ -330,15 +328,16 @@ def one_of_each(store: TableStore, df: DataFrame, doc_id: str, text: str, width:
     in both, any one.
     """
     rows = store.write("near_groups", groups(store, df, doc_id, text, width)).filter("n_shingles > 0")
+    id_, key = free_names(df, "__id", "__key")
     first = rows.groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
-    ).select(F.col("first.doc_id").alias("__id"), F.col("first.text_key").alias("__key"), F.lit(True).alias("stays"))
+    ).select(F.col("first.doc_id").alias(id_), F.col("first.text_key").alias(key), F.lit(True).alias("stays"))
     # One text is in one group, so id and text name the group too.
     alike = rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
-    is_first = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))
+    is_first = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col("text_key") == F.col(key))
     alike = store.write("near_rows", alike.join(first, is_first, "left").select("doc_id", "text_key", "n", "stays"))
-    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__key"))
-    keys = [F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")]
+    same = F.col(doc_id).eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(key))
+    keys = [F.col("doc_id").alias(id_), F.col("text_key").alias(key)]
     kept = df.join(alike.filter("stays is null").select(*keys), same, "left_anti")
     again = alike.filter("stays and n > 1").select(*keys)
     if again.isEmpty():
