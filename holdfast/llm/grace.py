@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from holdfast.llm.tables import free_names
 from holdfast.llm.text import small_batches
 from holdfast.plans.store import TableStore
 
@@ -214,16 +215,18 @@ def classify(store: TableStore, df: DataFrame, doc_id: str, text: str, budget: i
 def deduplicate(store: TableStore, df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns."""
     rows = store.write("exact_classes", classify(store, df, doc_id, text))
-    dropped = rows.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__key"))
+    id_, key, content = free_names(df, "__id", "__key", "__same")
+    keys = [F.col("doc_id").alias(id_), F.col("text_key").alias(key)]
+    dropped = rows.filter("not kept").select(*keys)
+    same = F.col(doc_id).eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(key))
     kept = df.join(dropped, same, "left_anti")
-    tied = rows.filter("kept and keep_rows > 1").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    tied = rows.filter("kept and keep_rows > 1").select(*keys)
     if tied.isEmpty():
         return kept
     # Repeated rows: among those tied for staying one is returned.
     tied = tied.distinct()
-    repeated = kept.join(tied, same, "left_semi").withColumn("__same", F.sha2(normalised(F.col(text)), 256))
-    return kept.join(tied, same, "left_anti").unionByName(repeated.dropDuplicates(["__same"]).drop("__same"))
+    repeated = kept.join(tied, same, "left_semi").withColumn(content, F.sha2(normalised(F.col(text)), 256))
+    return kept.join(tied, same, "left_anti").unionByName(repeated.dropDuplicates([content]).drop(content))
 
 
 def op10_exact_dedup(store: TableStore, documents: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:

@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from holdfast.llm.tables import free_names
 from holdfast.operators.ranking import ROW_NO, Key, number_rows
 from holdfast.plans.store import TableStore
 
@@ -108,8 +109,8 @@ def solve(store: TableStore, cells: DataFrame, sources: DataFrame, cap: int = CA
         duals = store.write("duals", state.withColumn("dual", step).select(*duals.columns))
         worst = duals.agg(F.max("gap")).first()[0]
         if worst is None or worst <= GAP:
-            break
-    return duals
+            return duals
+    raise RuntimeError(f"a source's words are still {worst:.3g} of its target away after {STEPS} steps")
 
 
 def rate_of(cap: int) -> Column:
@@ -186,29 +187,30 @@ def repeat(store: TableStore, df: DataFrame, doc_id: str, text: str, source: str
     Rows alike in id, text and source have copies that differ by one at most; which of them have one more is
     settled by a hash of all columns.
     """
+    key, times, rows, draw, place, row, of, first_row, copy = free_names(
+        df, "__key", "__times", "__rows", "__draw", "__place", "__row", "__of", "__first", "__copy"
+    )
     copies = mix(store, df, doc_id, text, source, cap).groupBy("doc_id", "text_key", "source").agg(
-        F.sum("copies").alias("__times"), F.count("*").alias("__rows")
-    ).filter("__times > 0")
-    key = F.struct(F.col(doc_id), F.xxhash64(text), F.col(source))
-    wanted = store.write("copies", copies.select(
-        F.struct("doc_id", "text_key", "source").alias("__key"), "__times", "__rows"
-    ))
-    taken = df.join(wanted, key.eqNullSafe(F.col("__key")))
-    single = taken.filter("__rows = 1").select(*df.columns, "__times")
-    if not wanted.filter("__rows > 1").isEmpty():
+        F.sum("copies").alias(times), F.count("*").alias(rows)
+    ).filter(F.col(times) > 0)
+    wanted = store.write("copies", copies.select(F.struct("doc_id", "text_key", "source").alias(key), times, rows))
+    same = F.struct(F.col(doc_id), F.xxhash64(text), F.col(source)).eqNullSafe(F.col(key))
+    taken = df.join(wanted, same)
+    single = taken.filter(F.col(rows) == 1).select(*df.columns, times)
+    if not wanted.filter(F.col(rows) > 1).isEmpty():
         # Rows alike in everything are told apart by where they stand, so a hot one is still numbered by many tasks.
-        alike = taken.filter("__rows > 1").select(
-            "__key", F.xxhash64(*df.columns).alias("__draw"), F.monotonically_increasing_id().alias("__place"),
-            F.struct(*df.columns).alias("__row"), "__times", "__rows",
+        alike = taken.filter(F.col(rows) > 1).select(
+            key, F.xxhash64(*df.columns).alias(draw), F.monotonically_increasing_id().alias(place),
+            F.struct(*df.columns).alias(row), times, rows,
         )
-        numbered = number_rows(store, "alike", alike, [Key("__key"), Key("__draw"), Key("__place")]).frame
-        first = numbered.groupBy(F.col("__key").alias("__of")).agg(F.min(ROW_NO).alias("__first"))
-        more = (F.col(ROW_NO) - F.col("__first") < F.col("__times") % F.col("__rows")).cast("bigint")
-        each = numbered.join(first, F.col("__key").eqNullSafe(F.col("__of"))).select(
-            "__row.*", (F.floor(F.col("__times") / F.col("__rows")) + more).alias("__times")
+        numbered = number_rows(store, "alike", alike, [Key(key), Key(draw), Key(place)]).frame
+        first = numbered.groupBy(F.col(key).alias(of)).agg(F.min(ROW_NO).alias(first_row))
+        more = (F.col(ROW_NO) - F.col(first_row) < F.col(times) % F.col(rows)).cast("bigint")
+        each = numbered.join(first, F.col(key).eqNullSafe(F.col(of))).select(
+            f"{row}.*", (F.floor(F.col(times) / F.col(rows)) + more).alias(times)
         )
-        single = single.unionByName(each.filter("__times > 0"))
-    return single.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__times")))).select(*df.columns)
+        single = single.unionByName(each.filter(F.col(times) > 0))
+    return single.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(times)))).select(*df.columns)
 
 
 def op2_entropy_mix(store: TableStore, documents: DataFrame) -> DataFrame:

@@ -76,3 +76,21 @@ def test_empty_table(spark, store, docs_of):
     for _, stage in pipeline.STAGES:
         docs = store.write("stage", stage(spark, docs, SF_DIR))
         assert docs.count() == 0
+
+
+CLASHING = (
+    "__id", "__key", "__same", "__times", "__rows", "__draw", "__place", "__row", "__of", "__first", "__copy", "__score",
+    "__bucket", "component", "component_id", "node", "kept", "hash", "content", "rows", "copies", "size", "n", "stays", "digest",
+)
+
+
+def test_clashing_names(spark, store):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(40)
+    docs = docs.unionByName(docs.limit(3))
+    for n, name in enumerate(CLASHING):
+        docs = docs.withColumn(name, F.lit(n))
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = store.write("clash", stage(spark, docs, SF_DIR))
+        row = docs.first()
+        assert [row[c] for c in CLASHING] == list(range(len(CLASHING))), name
+    assert pipeline.STAGES[-1][1](spark, docs, SF_DIR).count() == docs.count()
