@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -56,5 +58,33 @@ def test_copied_examples_are_told_from_owners_values(docs_of, store):
     assert found == {**{i: (1, 0) for i in range(5)}, 9: (0, 1)}
 
 
+def test_repositories_decide_too_and_are_returned(spark, store):
+    rows = [(i, "token=ManyPlacesManyPlaces1", f"lang{i}", f"o{i % 2}") for i in range(8)] + [(9, "token=FewPlacesFewPlaces1", "a", "o1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: (r.n_copied, r.n_live, r.owners_repositories) for r in secrets.op5_owner_frequency(store, docs).collect()}
+    assert found == {**{i: (1, 0, "2:8") for i in range(8)}, 9: (0, 1, "1:1")}
+
+
+def test_many_matches_in_one_text_take_seconds(docs_of, store):
+    rng = random.Random(1)
+    parts = ["%032x" % rng.getrandbits(128) for _ in range(50_000)]
+    parts += [f"token={''.join(rng.choices('abcXYZ019', k=24))}" for _ in range(3000)]
+    parts += ["".join(rng.choices("abcXYZ019", k=26)) + "Q7z" for _ in range(3000)]
+    rng.shuffle(parts)
+    text = "é ".join(parts)
+    start = time.perf_counter()
+    (row,) = secrets.op5_owner_frequency(store, docs_of([(1, text)])).collect()
+    assert time.perf_counter() - start < 60
+    found = [(m.start(), 0, m.end(), "assign") for m in BASE[0][1].finditer(text) if len(m.group(2)) >= 12]
+    found += [(m.start(), 2, m.end(), "hex") for m in BASE[2][1].finditer(text) if len(m.group()) >= 16]
+    taken = {p for s, _, e, _ in found for p in range(s, e)}
+    found += [
+        (m.start(), 3, m.end(), "owned") for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text)
+        if all(re.search(c, m.group()) for c in ("[a-z]", "[A-Z]", "[0-9]")) and taken.isdisjoint(range(m.start(), m.end()))
+    ]
+    assert row.spans == ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(found))
+    assert row.n_hex >= 50_000 and row.n_owned >= 2900
+
+
 def test_empty_table(docs_of, store):
     assert secrets.op5_owner_frequency(store, docs_of([])).count() == 0
