@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import bpe, dac, grace, mixture, neardup, pivots, quality, secrets, shards
-from holdfast.llm.tables import read, store_of, tokenizer_file
+from holdfast.llm import (
+    bpe, dac, divergence, grace, hardneg, mixture, neardup, pivots, prefix_bpe, quality, secrets, shards,
+)
+from holdfast.llm.tables import read, split_pattern, store_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,10 +21,10 @@ QUERIES: dict[str, Query] = {
         store_of(spark), read(spark, sf_dir, "documents")
     ),
     "op3_directly_addressable_codes": lambda spark, sf_dir: dac.op3_directly_addressable_codes(
-        store_of(spark), read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")
+        store_of(spark), read(spark, sf_dir, "documents"), "word_bpe_49k.json"
     ),
     "op4_bpe_encode_decode": lambda spark, sf_dir: bpe.op4_bpe_encode_decode(
-        read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")
+        read(spark, sf_dir, "documents"), "byte_bpe_50k.json"
     ),
     "op5_owner_frequency": lambda spark, sf_dir: secrets.op5_owner_frequency(
         store_of(spark), read(spark, sf_dir, "documents")
@@ -34,7 +36,7 @@ QUERIES: dict[str, Query] = {
         store_of(spark), read(spark, sf_dir, "documents")
     ),
     "op8_token_counts": lambda spark, sf_dir: bpe.op8_token_counts(
-        read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")
+        read(spark, sf_dir, "documents"), "byte_bpe_50k.json"
     ),
     "op9_pivot_top_k": lambda spark, sf_dir: pivots.op9_pivot_top_k(
         store_of(spark), read(spark, sf_dir, "embeddings")
@@ -42,9 +44,20 @@ QUERIES: dict[str, Query] = {
     "op10_exact_dedup": lambda spark, sf_dir: grace.op10_exact_dedup(
         store_of(spark), read(spark, sf_dir, "documents")
     ),
+    "op11_count_cells": lambda spark, sf_dir: divergence.op11_count_cells(
+        store_of(spark), read(spark, sf_dir, "documents")
+    ),
+    "op12_prefix_dp": lambda spark, sf_dir: prefix_bpe.op12_prefix_dp(
+        read(spark, sf_dir, "documents"), "byte_bpe_50k.tiktoken", split_pattern()
+    ),
+    "op13_one_bit_negatives": lambda spark, sf_dir: hardneg.op13_one_bit_negatives(
+        store_of(spark), read(spark, sf_dir, "embeddings")
+    ),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op9_pivot_top_k": pivots.OP9_SQL,
     "op10_exact_dedup": grace.OP10_SQL,
+    "op11_count_cells": divergence.OP11_SQL,
+    "op13_one_bit_negatives": hardneg.OP13_SQL,
 }
