@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm import bpe, grace, mixture, neardup, quality
-from holdfast.llm.tables import read, store_of, tokenizer_file
+from holdfast.llm.tables import free_names, read, store_of
 
 SHINGLE_WORDS = 5
 
@@ -21,8 +21,9 @@ SHINGLE_WORDS = 5
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on the stage's own input, does not reject."""
     weights = quality.train(docs, read(spark, sf_dir, "labels"), "doc_id", "text", "quality")
-    scored = quality.score(docs, "text", weights)
-    return scored.filter(F.col(quality.SCORE) >= quality.THRESHOLD).select(*docs.columns)
+    (score,) = free_names(docs, quality.SCORE)
+    scored = quality.score(docs, "text", weights, into=score)
+    return scored.filter(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, and the text they decode to as a digest."""
-    path = tokenizer_file("byte_bpe_50k.json")
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), "text", path), "ids", path)
+    coded = bpe.encode_decode(docs.select("doc_id", "source", "text"), "text", "byte_bpe_50k.json")
     return coded.select(
         "doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
         F.sha2("decoded", 256).alias("decoded_sha256"),
