@@ -253,7 +253,10 @@ def test_single_and_empty_eligible_set(spark, store):
     assert save.save_worthiness_deciles(ranked).count() == 0
     frontier = roi.budget_cap_frontier(ranked, REFERENCE).collect()
     assert [r["targeted_customers"] for r in frontier] == [0] * 7
-    assert frontier[0]["marginal_readout"].startswith("Budget too small")
+    # One readout for caps that buy nothing, another as soon as one buys.
+    bought = roi.budget_cap_frontier(one.withColumn("save_priority_tier", save.save_priority_tier()), REFERENCE).collect()
+    assert {r["marginal_readout"] for r in frontier}.isdisjoint(r["marginal_readout"] for r in bought)
+    assert [r["targeted_customers"] for r in bought] == [1] * 7
     matrix = roi.strategy_scenario_matrix(ranked, REFERENCE)
     assert {r["budget_status"] for r in matrix.collect()} == {"No targets"}
     assert matrix.count() == 12 * 5
@@ -306,3 +309,20 @@ def test_raw_csv_reader(spark, tmp_path):
     got = {r["customer_id"]: r for r in engine.table("snapshot").collect()}
     assert got["a"]["monthly_revenue"] == 149.0 and got["a"]["active_days"] == 1
     assert got["b"]["snapshot_month"] == k.NO_MONTH
+
+
+@pytest.mark.parametrize("most_words", [1 << 22, 1])
+def test_payments_of_a_hot_customer_are_kept_whole(spark, monkeypatch, most_words):
+    """A filter that is far too small only lets more through."""
+    monkeypatch.setattr(clean, "MOST_WORDS", most_words)
+    rows = spark.range(3000).selectExpr(
+        "case when id % 3 = 0 then 'hot' when id % 5 = 0 then null else concat('c', id % 200) end as customer_id", "id as n"
+    ).repartition(9)
+    labels = spark.createDataFrame([("hot", 1), *((f"c{i}", 0) for i in range(0, 200, 3)), ("absent", 0)], "customer_id string, is_churn int")
+    kept = clean.keep_labelled_spread(rows, labels, labels.count())
+    want = clean.keep_labelled(rows, labels)
+    assert kept.columns == want.columns
+    assert kept.count() == want.count() > 1000 and kept.exceptAll(want).count() == 0
+    through = clean.maybe_labelled(rows, labels, labels.count()).count()
+    assert kept.count() <= through and (most_words == 1 or through < 1.2 * kept.count())
+    assert kept.withColumn("part", F.spark_partition_id()).filter("customer_id = 'hot'").select("part").distinct().count() > 1
