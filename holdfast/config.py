@@ -167,9 +167,13 @@ class ModelSettings:
     logistic_iterations: int = 700
     boosting_rounds: int = 180
     boosting_step: float = 0.06
-    tree_depth: int = 5
+    max_leaves: int = 31
     min_leaf_rows: int = 40
+    leaf_penalty: float = 0.05
+    bins: int = 255
     validation_permille: int = 120
+    stop_rounds: int = 10
+    stop_gain: float = 1e-7
     importance_repeats: int = 3
 
 

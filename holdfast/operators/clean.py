@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ PLAY_BANDS = ("num_25", "num_50", "num_75", "num_985", "num_100")
 LOG_COUNTS = (*PLAY_BANDS, "num_unq")
 # Scores are kept to nine decimals so that ranks do not depend on the last bit of a logarithm.
 SCORE_DECIMALS = 9
+#: The label filter: bits per label, bits set per label, and at most 4M words (some 100 MB where they are looked up).
+FILTER_BITS, FILTER_HASHES, MOST_WORDS = 16, 4, 1 << 22
+SALTS = 16
 
 
 def clean_labels(labels: DataFrame) -> DataFrame:
@@ -52,8 +57,54 @@ def clean_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def clean_transactions(transactions: DataFrame, labels: DataFrame) -> DataFrame:
-    kept = keep_labelled(transactions, labels)
+def _filter_place(words: int) -> tuple[Column, Column]:
+    """The word of a customer in the filter, and the bits that stand for it there."""
+    key = F.col("customer_id").cast("string")
+    draw = F.xxhash64(key, F.lit(5))
+    one = F.lit(1).cast("bigint")
+    bits = [
+        F.call_function("shiftleft", one, F.shiftrightunsigned(draw, 6 * i).bitwiseAND(F.lit(63)).cast("int"))
+        for i in range(FILTER_HASHES)
+    ]
+    return F.pmod(F.xxhash64(key), F.lit(words)), reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
+def maybe_labelled(rows: DataFrame, labels: DataFrame, n_labels: int) -> DataFrame:
+    """Rows whose customer may be labelled, by a Bloom filter looked up inside the scan.
+
+    All bits of a customer stand in one 64-bit word, so the filter is a table of words, sized by the number of labels
+    and bounded by ``MOST_WORDS``, and a lookup is one probe of a hash table.  Beyond the bound more unlabelled rows
+    get through; none that is labelled is lost.
+    """
+    words = min(MOST_WORDS, max(1, -(-n_labels * FILTER_BITS // 64)))
+    word, bits = _filter_place(words)
+    held = labels.select(word.alias("_word"), bits.alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_held"))
+    probe = rows.withColumns({"_at": word, "_needs": bits})
+    there = (F.col("_at") == F.col("_word")) & (F.col("_held").bitwiseAND(F.col("_needs")) == F.col("_needs"))
+    return probe.join(F.broadcast(held), there, "left_semi").drop("_at", "_needs")
+
+
+def keep_labelled_spread(rows: DataFrame, labels: DataFrame, n_labels: int) -> DataFrame:
+    """``keep_labelled`` for raw rows, of which one customer may hold any share.
+
+    The filter comes first, then the exact join on (customer, salt): rows of a customer go to as many tasks as there
+    are salts, by the input partition they come from.
+    """
+    salted = maybe_labelled(rows, labels, n_labels).withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    ids = labels.select(
+        F.col("customer_id").alias("_labelled"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_of_salt")
+    )
+    same = (F.col("customer_id").cast("string") == F.col("_labelled")) & (F.col("_salt") == F.col("_of_salt"))
+    kept = salted.join(ids, same, "left_semi").drop("_salt")
+    return kept.withColumn("customer_id", F.col("customer_id").cast("string"))
+
+
+def clean_transactions(transactions: DataFrame, labels: DataFrame, n_labels: int | None = None) -> DataFrame:
+    """Typed payments of labelled customers; with the number of labels the raw rows are filtered in the scan."""
+    if n_labels is None:
+        kept = keep_labelled(transactions, labels)
+    else:
+        kept = keep_labelled_spread(transactions, labels, n_labels)
     typed = kept.select(
         "customer_id",
         *(number_or_zero(c, "int").alias(c)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,17 +66,18 @@ def customer_month_keys(payments: DataFrame, activity: DataFrame) -> DataFrame:
     return payments.select(*KEYS).union(active).distinct()
 
 
-def customer_month_base(payments: DataFrame, activity: DataFrame, members: DataFrame,
-                        labels: DataFrame) -> DataFrame:
+def customer_month_base(payments: DataFrame, activity: DataFrame, members: DataFrame, labels: DataFrame,
+                        dealt: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Every month with a payment or activity, with member attributes and the label.
 
     The full outer join of the two monthly aggregates replaces "union of keys, then two left
-    joins": both sides are already hashed on its keys by their own aggregation.
+    joins": both sides are already hashed on its keys by their own aggregation.  ``dealt`` brings the months to
+    their customers once, as the tables of members and labels are; joins and windows then find them there.
     """
     active = activity.filter(F.col("activity_month").isNotNull()).withColumnRenamed(
         "activity_month", "snapshot_month"
     )
-    months = payments.join(active, KEYS, "full_outer")
+    months = dealt(payments.join(active, KEYS, "full_outer"))
     per_customer = months.join(members, "customer_id", "left").join(
         labels.withColumnRenamed("is_churn", "churn_next_period"), "customer_id", "left"
     )

@@ -125,6 +125,7 @@ def qcut(rank: str, n: str, buckets: int = 10) -> str:
 
 
 def score(cancel_weight: float) -> str:
+    """The planning scorecard over columns named like its inputs."""
     z = (f"(-1.5::DOUBLE + {cancel_weight}::DOUBLE*cancellation_signal_flag - 1.0::DOUBLE*auto_renew_signal "
          "+ 0.8::DOUBLE*no_recent_activity_flag + 0.6::DOUBLE*major_activity_drop_flag "
          "- 0.03::DOUBLE*least(coalesce(tenure_months, 0), 24))")

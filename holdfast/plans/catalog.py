@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from holdfast.functions.literals import literal_rows
 from holdfast.operators import (
-    abtest, checks, churn_data, clean, clv, cohort, customer_month, evaluate, leakage, lifecycle, roi,
+    abtest, checks, churn_data, clean, clv, cohort, customer_month, evaluate, leakage, lifecycle, logistic, roi,
     save, training, validation,
 )
 from holdfast.plans.engine import RetentionEngine
@@ -177,14 +177,12 @@ def _metric(e: RetentionEngine, *names: str) -> DataFrame:
 
 
 def _prepared(e: RetentionEngine) -> DataFrame:
-    """Imputed and coded features of the best tree candidate, long form."""
-    c = e.candidate(training.BOOSTED)
-    model = e.model(c.name)
-    prepared = training.PipelineModel(model.stages[:-1]).transform(e.table("model_frame"))
-    values = training.vector_to_array("assembled")
-    return prepared.select("customer_id", F.posexplode(values).alias("position", "x")).groupBy("position").agg(
+    """Filled and coded features of the tree candidates, one row per feature."""
+    features = e.candidate(training.BOOSTED).features
+    values = F.array(*(e.preparation.column(f) for f in features))
+    return e.table("model_frame").select(F.posexplode(values).alias("position", "x")).groupBy("position").agg(
         F.count("x").alias("customers"), F.min("x").alias("low"), F.max("x").alias("high"), F.avg("x").alias("mean")
-    ).withColumn("feature", F.array(*(F.lit(f) for f in c.features))[F.col("position")]).drop("position")
+    ).select(F.array(*map(F.lit, features))[F.col("position")].alias("feature"), "customers", "low", "high", "mean")
 
 
 def _scores(e: RetentionEngine, name: str) -> DataFrame:
@@ -192,10 +190,25 @@ def _scores(e: RetentionEngine, name: str) -> DataFrame:
 
 
 def _saved_model(e: RetentionEngine) -> DataFrame:
-    """Scores of the best model after a save and load."""
-    path = e.store.fresh("model")
-    training.save_model(e.model(e.best_model), path)
-    return training.score(training.load_model(path), e.table("model_frame")).select("customer_id", evaluate.P)
+    """Customers scored before and after saving and loading the best model, and the largest difference."""
+    path, frame = e.store.fresh("model"), e.table("model_frame")
+    model = e.model(e.best_model)
+    training.save_model(e.spark, model, path)
+    again = training.load_model(e.spark, path)
+    both = training.score(model, frame).select("customer_id", F.col(evaluate.P).alias("before")).join(
+        training.score(again, frame).select("customer_id", F.col(evaluate.P).alias("after")), "customer_id"
+    )
+    return both.agg(F.count("*").alias("customers"), F.max(F.abs(F.col("before") - F.col("after"))).alias("largest_difference"))
+
+
+def _logistic_optimality(e: RetentionEngine) -> DataFrame:
+    """Whether the loss is level at the weights found, by feature: the condition of its only minimum."""
+    model = e.model(training.LOGISTIC)
+    rows = training.training_rows(e.table("model_frame"), e.p.model)
+    ready = rows.select(*(c.alias(f) for f, c in zip(model.features, model.columns())), churn_data.TARGET, "class_weight")
+    slope = logistic.gradient_at(ready, model.fitted, churn_data.TARGET, "class_weight")
+    names = [*model.features, "intercept"]
+    return literal_rows(e.spark, [(f, abs(g) < 1e-9) for f, g in zip(names, slope.tolist())], "feature string, at_minimum boolean")
 
 
 CHURN: dict[str, Query] = {
@@ -221,6 +234,8 @@ CHURN: dict[str, Query] = {
     "churn_scored_top_sample": lambda e: evaluate.scored_top_sample(e.table("scored"), e.p),
     "churn_segment_score_summary": lambda e: evaluate.segment_score_summary(e.table("scored"), e.p),
     "churn_permutation_importance": lambda e: e.table("importance"),
+    "churn_scorecard_importance": lambda e: e.table("scorecard_importance"),
+    "churn_logistic_optimality": _logistic_optimality,
     "churn_model_comparison": lambda e: e.table("trained_comparison"),
     "churn_scorecard_comparison": lambda e: e.scorecard_comparison,
     "churn_model_persist": _saved_model,
@@ -267,6 +282,8 @@ VALIDATION: dict[str, Query] = {
     "valid_cancel_signal_sensitivity": lambda e: e.sensitivity(trained=False),
     "valid_cancel_signal_sensitivity_trained": lambda e: e.sensitivity(trained=True),
     "valid_feature_importance_governance": lambda e: e.importance_governance,
+    "valid_scorecard_importance_governance": lambda e: validation.feature_importance_governance(
+        e.table("scorecard_importance")),
     "valid_leakage_governance_check": lambda e: e.governance,
     "valid_recommended_operating_point": lambda e: validation.recommended_operating_point(e.table("thresholds")),
     "valid_valid_headline": lambda e: validation.valid_headline(

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from functools import cached_property, partial
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +35,12 @@ PUBLISHED_LAYERS: dict[str, list[str] | None] = {
 }
 
 
+#: Layers with one customer's rows in one bucket, so snapshot, scores and lifecycle meet without a shuffle.
+BUCKETED = frozenset({"labels", "members", "latest_transaction", "customer_month", "snapshot", "clv", "scored", "lifecycle"})
+BUCKET_CUSTOMERS = 200_000
+LEAST_BUCKETS, MOST_BUCKETS = 8, 20_000
+
+
 class RetentionEngine:
     """``score_source`` is "scorecard" (repeatable, no training) or "trained" (best model)."""
 
@@ -48,14 +53,31 @@ class RetentionEngine:
         self.score_source = score_source
         self._written: dict[str, DataFrame] = {}
         self._ranks: dict[str, NumberedRows] = {}
-        self._models: dict[str, PipelineModel] = {}
+        self._models: dict[str, training.ChurnModel] = {}
 
     def table(self, name: str) -> DataFrame:
         """The named table, written on first use."""
         if name not in self._written:
-            self._written[name] = self.store.write(name, getattr(self, name))
+            df = getattr(self, name)
+            if name in BUCKETED:
+                self._written[name] = self.store.write_bucketed(name, df, "customer_id", self.buckets)
+            else:
+                self._written[name] = self.store.write(name, df)
         return self._written[name]
 
+    @cached_property
+    def buckets(self) -> int:
+        """One number for all tables by customer, from the number of labelled customers."""
+        return min(max(LEAST_BUCKETS, -(-self.label_count // BUCKET_CUSTOMERS)), MOST_BUCKETS)
+
+    @cached_property
+    def label_count(self) -> int:
+        return self.table("label_rows").count()
+
+    def by_customer(self, df: DataFrame) -> DataFrame:
+        """Dealt by customer as the bucketed tables are."""
+        return df.repartition(self.buckets, "customer_id")
+
     def write_together(self, *names: str) -> None:
         """Writes independent tables at the same time, so that one job's tail overlaps the next."""
         run_together([partial(self.table, n) for n in names if n not in self._written])
@@ -63,16 +85,20 @@ class RetentionEngine:
     # --- Clean ------------------------------------------------------------------------------
 
     @cached_property
-    def labels(self) -> DataFrame:
+    def label_rows(self) -> DataFrame:
         return clean.clean_labels(self.raw.labels)
 
+    @cached_property
+    def labels(self) -> DataFrame:
+        return self.by_customer(self.table("label_rows"))
+
     @cached_property
     def members(self) -> DataFrame:
-        return clean.clean_members(self.raw.members, self.table("labels"))
+        return self.by_customer(clean.clean_members(self.raw.members, self.table("labels")))
 
     @cached_property
     def transactions(self) -> DataFrame:
-        return clean.clean_transactions(self.raw.transactions, self.table("labels"))
+        return clean.clean_transactions(self.raw.transactions, self.table("labels"), self.label_count)
 
     @cached_property
     def logs_monthly(self) -> DataFrame:
@@ -95,7 +121,8 @@ class RetentionEngine:
         self.table("labels")
         self.write_together("transactions", "logs_monthly", "members")
         return customer_month.customer_month_base(
-            self.transaction_monthly, self.table("logs_monthly"), self.table("members"), self.table("labels")
+            self.transaction_monthly, self.table("logs_monthly"), self.table("members"), self.table("labels"),
+            self.by_customer,
         )
 
     @cached_property
@@ -108,13 +135,13 @@ class RetentionEngine:
 
     @cached_property
     def latest_transaction(self) -> DataFrame:
-        return customer_month.latest_transaction(self.table("transactions"))
+        return self.by_customer(customer_month.latest_transaction(self.table("transactions")))
 
     @cached_property
     def snapshot(self) -> DataFrame:
         return customer_month.modeling_customer_snapshot(
             self.table("labels"), customer_month.latest_customer_month(self.table("customer_month")),
-            self.table("members"), self.latest_transaction, self.p,
+            self.table("members"), self.table("latest_transaction"), self.p,
         )
 
     # --- Cohorts ----------------------------------------------------------------------------
@@ -231,9 +258,15 @@ class RetentionEngine:
     def candidate(self, name: str) -> training.Candidate:
         return next(c for c in training.CANDIDATES if c.name == name)
 
-    def model(self, name: str) -> PipelineModel:
+    @cached_property
+    def preparation(self) -> training.Preparation:
+        return training.prepare(self.table("model_frame"))
+
+    def model(self, name: str) -> training.ChurnModel:
         if name not in self._models:
-            self._models[name] = training.train(self.candidate(name), self.table("model_frame"), self.p.model)
+            self._models[name] = training.train(
+                self.store, self.candidate(name), self.table("model_frame"), self.p.model, self.preparation
+            )
         return self._models[name]
 
     def model_scores(self, name: str) -> DataFrame:
@@ -248,7 +281,7 @@ class RetentionEngine:
 
     @cached_property
     def trained_comparison(self) -> DataFrame:
-        self.table("model_frame")
+        self.preparation
         run_together([partial(self.model, c.name) for c in training.CANDIDATES])
         run_together([partial(self.model_rank, c.name) for c in training.CANDIDATES])
         return evaluate.model_comparison([self.model_row(c.name) for c in training.CANDIDATES])
@@ -264,10 +297,13 @@ class RetentionEngine:
     @cached_property
     def importance(self) -> DataFrame:
         return training.model_importance(
-            self.store, self.model(self.best_model), self.candidate(self.best_model),
-            self.table("model_frame").filter("in_test"), self.p.model,
+            self.store, self.model(self.best_model), self.table("model_frame").filter("in_test"), self.p.model,
         )
 
+    @cached_property
+    def scorecard_importance(self) -> DataFrame:
+        return training.scorecard_importance(self.store, self.split.filter("in_test"), self.p.model)
+
     @cached_property
     def scorecard_comparison(self) -> DataFrame:
         self.split

@@ -15,6 +15,8 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
+from holdfast.plans.workers import importable
+
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
@@ -40,10 +42,11 @@ def run_together(actions: Sequence[Callable[[], object]]) -> list:
 
 class TableStore:
     def __init__(self, spark: SparkSession, root: str | None = None):
-        self.spark = spark
+        self.spark = importable(spark)
         base = root or shared_folder(spark)
         self.root = f"{base}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
         self._writes = itertools.count()
+        self._tables: list[str] = []
         self._drop_when_session_ends()
 
     def _drop_when_session_ends(self) -> None:
@@ -62,3 +65,19 @@ class TableStore:
         path = self.fresh(name)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def write_bucketed(self, name: str, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """A written table that Spark knows to be dealt by ``key``, so joins on it move no row.
+
+        ``df`` should come dealt by the key already, else every task writes a file for each bucket.  The catalog
+        entry has a name of its own and goes with ``drop_tables`` or, in a session's own catalog, with the session.
+        """
+        path, table = self.fresh(name), f"holdfast_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+        self._tables.append(table)
+        return self.spark.table(table)
+
+    def drop_tables(self) -> None:
+        """Takes the bucketed tables out of the catalog; their files go with the session."""
+        while self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop()}")

@@ -39,13 +39,14 @@ def test_model_learns_a_real_signal(spark, engine):
     """The generated label is noise, so a label that follows a feature is planted."""
     frame = engine.table("model_frame").withColumn(
         churn_data.TARGET, (F.col("monthly_revenue") > 120_000).cast("int"))
+    settings = replace(engine.p.model, boosting_rounds=20)  # a tree counts for a small step only
     for name in (training.LOGISTIC, training.BOOSTED):
         c = engine.candidate(name)
-        scored = training.score(training.train(c, frame, engine.p.model), frame)
+        scored = training.score(training.train(engine.store, c, frame, settings), frame)
         means = {r[0]: r[1] for r in scored.groupBy(churn_data.TARGET).agg(F.avg("predicted_churn_probability")).collect()}
         assert means[1] > means[0] + 0.2
-    model = training.train(engine.candidate(training.BOOSTED), frame, engine.p.model)
-    gain = training.model_importance(engine.store, model, engine.candidate(training.BOOSTED), frame, engine.p.model).first()
+    model = training.train(engine.store, engine.candidate(training.BOOSTED), frame, settings)
+    gain = training.model_importance(engine.store, model, frame, engine.p.model).first()
     assert gain["feature"] == "monthly_revenue" and gain["importance_mean"] > 0.2
 
 
@@ -61,25 +62,64 @@ def test_importance_tells_very_close_scores_apart(spark, store):
     assert gain[0]["importance_mean"] > 0.3 and gain[1]["importance_mean"] == 0
 
 
-def test_settings_follow_the_data(engine):
-    boosted = training.build_pipeline(engine.candidate(training.BOOSTED), engine.p.model, 1000, 70).getStages()[-1]
-    assert boosted.getMaxBins() > 70
-    *preparation, linear = training.build_pipeline(engine.candidate(training.LOGISTIC), engine.p.model, 1000, 70).getStages()
-    assert linear.getRegParam() == pytest.approx(1e-3) and not linear.getStandardization()
-    assert preparation[3].getInputCol() == "numbers"
+def test_importance_of_moved_rows_equals_the_full_form(spark, engine):
+    """Every test row scored again for every feature and repeat, with the area from all pairs."""
+    import numpy as np
 
+    frame = engine.table("model_frame").withColumn(churn_data.TARGET, (F.col("monthly_revenue") > 120_000).cast("int"))
+    s = replace(engine.p.model, boosting_rounds=4, importance_repeats=2, min_leaf_rows=10)
+    model = training.train(engine.store, engine.candidate(training.BOOSTED), frame, s)
+    got = {r.feature: (r.importance_mean, r.importance_std) for r in training.model_importance(engine.store, model, frame, s).collect()}
+    rows = frame.select("customer_id", churn_data.TARGET, F.array(*model.columns()).alias("x")).toPandas().sort_values("customer_id")
+    x, y = np.array(rows["x"].tolist()), rows[churn_data.TARGET].to_numpy()
 
-def test_unseen_categories_are_scored(engine):
+    def area(values):
+        p = 1 / (1 + np.exp(-model.fitted.margin(values)))
+        gap = p[y == 1][:, None] - p[y == 0][None, :]
+        return (gap > 0).mean() + (gap == 0).mean() / 2
+
+    import hashlib
+
+    ids = rows["customer_id"].tolist()
+    for i, feature in enumerate(model.features):
+        lost = []
+        for repeat in range(2):
+            donors = sorted(range(len(ids)), key=lambda k: (hashlib.sha256(f"{s.seed}|{repeat}|{ids[k]}".encode()).hexdigest(), ids[k]))
+            shuffled = x.copy()
+            shuffled[:, i] = x[donors, i]
+            lost.append(area(x) - area(shuffled))
+        assert got[feature] == pytest.approx((np.mean(lost), np.std(lost)), abs=1e-12)
+    assert max(v[0] for v in got.values()) > 0.1
+
+
+def test_preparation_follows_the_training_rows(engine):
+    import numpy as np
+
+    train = engine.table("model_frame").filter("not in_test").toPandas()
+    ready = engine.preparation
+    for c in churn_data.NUMERIC_FEATURES:
+        assert ready.medians[c] == np.nanmedian(train[c])
+        filled = train[c].fillna(ready.medians[c])
+        assert ready.means[c] == pytest.approx(filled.mean(), abs=1e-9) and ready.deviations[c] == pytest.approx(filled.std(ddof=0) or 1.0)
+    for c in churn_data.CATEGORICAL_FEATURES:
+        assert ready.categories[c] == sorted(train[c].unique())
+
+
+def test_unseen_categories_are_minus_one(engine):
     model = engine.model(training.BOOSTED)
     odd = engine.table("model_frame").withColumn("city", F.lit("never seen")).withColumn("age", F.lit(None).cast("double"))
+    seen = odd.select(model.preparation.column("city").alias("city"), model.preparation.column("age").alias("age")).distinct().collect()
+    assert [tuple(r) for r in seen] == [(-1.0, model.preparation.medians["age"])]
     scores = training.score(model, odd)
     assert scores.filter("predicted_churn_probability between 0 and 1").count() == odd.count()
 
 
-def test_saved_model_scores_the_same(engine, tmp_path):
-    model = engine.model(training.LOGISTIC)
-    training.save_model(model, str(tmp_path / "model"))
-    again = training.load_model(str(tmp_path / "model"))
+@pytest.mark.parametrize("name", [training.LOGISTIC, training.BOOSTED])
+def test_saved_model_scores_the_same(spark, engine, tmp_path, name):
+    model = engine.model(name)
+    training.save_model(spark, model, str(tmp_path / "model"))
+    again = training.load_model(spark, str(tmp_path / "model"))
+    assert again == model
     a = training.score(model, engine.table("model_frame")).select("customer_id", "predicted_churn_probability")
     b = training.score(again, engine.table("model_frame")).select("customer_id", "predicted_churn_probability")
     assert a.exceptAll(b).count() == 0

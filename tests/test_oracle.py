@@ -11,9 +11,9 @@ SF_DIR = "/root/testdata/sf0.001"
 SQL = oracle.comparable_sql()
 QUERIES = {name: query for name, query in entry.queries().items() if name not in entry.LLM_QUERIES}
 ROWS_ONLY = {
-    "churn_preprocess", "churn_train_logistic_balanced", "churn_train_boosted_trees",
+    "churn_train_logistic_balanced", "churn_train_boosted_trees",
     "churn_train_no_cancel_sensitivity", "churn_score_customers", "churn_permutation_importance",
-    "churn_model_comparison", "churn_model_persist", "valid_cancel_signal_sensitivity_trained",
+    "churn_model_comparison", "valid_cancel_signal_sensitivity_trained",
     "valid_feature_importance_governance",
 }
 

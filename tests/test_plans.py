@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from holdfast.operators import clean, customer_month, lifecycle
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -43,6 +44,38 @@ def test_split_and_scores_are_narrow(engine):
     assert "Exchange" not in _plan(engine.scored)
 
 
+@pytest.mark.parametrize("name", ["snapshot", "lifecycle"])
+def test_customer_layers_meet_without_a_shuffle(spark, engine, name):
+    """Even when no side is small enough to be broadcast."""
+    for needed in ("labels", "customer_month", "members", "latest_transaction", "scored"):
+        engine.table(needed)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        if name == "snapshot":
+            df = customer_month.modeling_customer_snapshot(
+                engine.table("labels"), customer_month.latest_customer_month(engine.table("customer_month")),
+                engine.table("members"), engine.table("latest_transaction"), engine.p,
+            )
+        else:
+            df = lifecycle.survival_base(engine.table("scored"), lifecycle.month_bounds(engine.table("customer_month")))
+        plan = _plan(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_raw_payments_are_filtered_in_the_scan(spark, engine):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(clean.clean_transactions(engine.raw.transactions, engine.table("labels"), engine.label_count))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    joins = [line for line in plan.splitlines() if "LeftSemi" in line]
+    assert len(joins) == 2 and "SortMergeJoin" in joins[0] and "_salt" in joins[0] and "BroadcastHashJoin" in joins[1]
+
+
 def test_month_bounds_need_no_shuffle(engine):
     assert "Exchange" not in _plan(engine.month_bounds)
 
