@@ -46,16 +46,23 @@ def _ratio(x: Column, table: tuple[tuple[float, ...], tuple[float, ...]]) -> Col
 
 
 def erf(x: Column) -> Column:
-    """Error function to about 1e-15 by three quotients of low degree, short enough for generated code."""
+    """Error function to about 1e-15 by three quotients of low degree.
+
+    All three are taken, each at its own end of its range where the number lies outside, and one is let through.
+    Without branches the generated code works out ``x`` once, so it stays short whatever ``x`` is.
+    """
     size = F.abs(x)
-    square = x * x
-    inverse = F.lit(1.0) / F.greatest(square, F.lit(1.0))
-    near = x * _ratio(square, NEAR)
-    middle = F.exp(-square) * _ratio(size, MIDDLE)
+    held = F.least(size, F.lit(8.0))  # from there on it is 1
+    low = F.least(held, F.lit(NEAR_UP_TO))
+    mid = F.greatest(F.least(held, F.lit(MIDDLE_UP_TO)), F.lit(NEAR_UP_TO))
+    high = F.greatest(held, F.lit(MIDDLE_UP_TO))
+    inverse = F.lit(1.0) / (high * high)
+    near = low * _ratio(low * low, NEAR)
+    middle = F.lit(1.0) - F.exp(-(mid * mid)) * _ratio(mid, MIDDLE)
     tail = F.lit(1 / math.sqrt(math.pi)) - inverse * _ratio(inverse, FAR)
-    far = F.exp(-square) / size * tail
-    rest = F.when(size <= MIDDLE_UP_TO, middle).otherwise(far)
-    return F.when(size <= NEAR_UP_TO, near).otherwise(F.signum(x) * (F.lit(1.0) - rest))
+    far = F.lit(1.0) - F.exp(-(high * high)) / high * tail
+    is_near, is_far = (size <= NEAR_UP_TO).cast("double"), (size > MIDDLE_UP_TO).cast("double")
+    return F.signum(x) * (is_near * near + is_far * far + (F.lit(1.0) - is_near - is_far) * middle)
 
 
 def normal_cdf(x: Column) -> Column:
@@ -86,5 +93,6 @@ def power(p_control: Column, p_treatment: Column, rows_per_arm: Column) -> Colum
     n = F.greatest(rows_per_arm.cast("double"), F.lit(1.0))
     null_var, alt_var = _spread(p1, p2)
     null_se, alt_se = F.sqrt(null_var / n), F.sqrt(alt_var / n)
+    # Bounded rates and at least one row keep both errors above zero.
     score = (F.abs(p1 - p2) - F.lit(AB_Z_ALPHA) * null_se) / alt_se
-    return F.when((null_se > 0) & (alt_se > 0), clip(normal_cdf(score), 0.0, 1.0))
+    return normal_cdf(score)

@@ -131,26 +131,22 @@ def decide(df: DataFrame, p: Profile) -> DataFrame:
 def rank_offers(store: TableStore, decided: DataFrame) -> DataFrame:
     """Rank by net value among eligible customers, with running cost and saved value.
 
-    Only the eligible rows are sorted, whole; the others are appended unranked, so the ranks need
-    no join back.
+    Only what ranks and sums need is sorted; the few numbers of each eligible customer then come back to the wide
+    rows, which stay where they are if ``decided`` is a table bucketed by customer.
     """
+    narrow = decided.filter(OFFER).select("customer_id", NET, COST, SAVED)
     ranked = number_rows(
-        store, "save_rank", decided.filter(OFFER), [Key(NET, descending=True), Key("customer_id")],
+        store, "save_rank", narrow, [Key(NET, descending=True), Key("customer_id")],
         running={"cumulative_cost": COST, "cumulative_saved": SAVED},
     )
     n = ranked.rows
     score = F.lit(100.0) if n == 1 else 100 * (1 - (F.col(ROW_NO) - 1) / F.lit(max(n - 1, 1)))
-    offers = ranked.frame.withColumns({
-        "save_worthiness_rank": F.col(ROW_NO), "save_worthiness_score": score,
+    places = ranked.frame.select("customer_id", ROW_NO, *HELPER_COLUMNS)
+    return decided.join(places, "customer_id", "left").withColumns({
+        "save_worthiness_rank": F.col(ROW_NO),
+        "save_worthiness_score": F.when(F.col(ROW_NO).isNotNull(), score).otherwise(0.0),
         "percentile_rank": F.col(ROW_NO) / F.lit(max(n, 1)),
     }).drop(ROW_NO)
-    rest = decided.filter(~F.col(OFFER)).withColumns({
-        "save_worthiness_rank": F.lit(None).cast("bigint"),
-        "save_worthiness_score": F.lit(0.0),
-        "percentile_rank": F.lit(None).cast("double"),
-        **{c: F.lit(None).cast("double") for c in HELPER_COLUMNS},
-    })
-    return offers.unionByName(rest)
 
 
 def save_priority_tier() -> Column:
@@ -178,9 +174,16 @@ def final_targeting_readout() -> Column:
     ], "Monitor until ROI simulation")
 
 
-def customer_save_worthiness_scores(store: TableStore, inputs: DataFrame, p: Profile) -> DataFrame:
-    # Written first: the ranking reads the eligible rows and the other rows from the same table.
-    decided = store.write("save_decided", decide(inputs, p))
+def customer_save_worthiness_scores(
+    store: TableStore, inputs: DataFrame, p: Profile, buckets: int | None = None
+) -> DataFrame:
+    """``buckets`` is the layout of ``inputs`` by customer, if it has one."""
+    # Written first: the ranking and the result read the same table.
+    decided = decide(inputs, p)
+    if buckets:
+        decided = store.write_bucketed("save_decided", decided, "customer_id", buckets)
+    else:
+        decided = store.write("save_decided", decided)
     ranked = rank_offers(store, decided).withColumn("save_priority_tier", save_priority_tier())
     return ranked.withColumn("final_targeting_readout", final_targeting_readout()).select(
         *OUTPUT_COLUMNS, *HELPER_COLUMNS

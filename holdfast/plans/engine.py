@@ -36,7 +36,7 @@ PUBLISHED_LAYERS: dict[str, list[str] | None] = {
 
 
 #: Layers with one customer's rows in one bucket, so snapshot, scores and lifecycle meet without a shuffle.
-BUCKETED = frozenset({"labels", "members", "latest_transaction", "customer_month", "snapshot", "clv", "scored", "lifecycle"})
+BUCKETED = frozenset({"labels", "members", "latest_transaction", "customer_month", "snapshot", "clv", "scored", "lifecycle", "saves"})
 BUCKET_CUSTOMERS = 200_000
 LEAST_BUCKETS, MOST_BUCKETS = 8, 20_000
 
@@ -432,7 +432,7 @@ class RetentionEngine:
     @cached_property
     def saves(self) -> DataFrame:
         return save.customer_save_worthiness_scores(
-            self.store, save.from_lifecycle(self.table("lifecycle")), self.p
+            self.store, save.from_lifecycle(self.table("lifecycle")), self.p, self.buckets
         )
 
     @cached_property

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from holdfast.functions import columns as c
-from holdfast.functions.proportions import normal_cdf, power, sample_size
+from holdfast.functions.proportions import erf, normal_cdf, power, sample_size
 
 
 def _one(spark, expr):
@@ -66,6 +66,22 @@ def test_normal_cdf(spark, x):
     assert abs(_one(spark, normal_cdf(F.lit(x))) - 0.5 * (1 + math.erf(x / math.sqrt(2)))) < 1e-14
 
 
+def test_erf_over_its_whole_range(spark):
+    xs = [s * x for x in [0.0, 1e-300, 1e-9, 0.1, 0.46875, 0.4687500001, 1.0, 2.0, 3.99, 4.0, 4.01, 5.9, 30.0, 1e200] for s in (1, -1)]
+    frame = spark.createDataFrame([(x,) for x in xs], "x double")
+    for r in frame.select("x", erf(F.col("x")).alias("y")).collect():
+        assert abs(r.y - math.erf(r.x)) <= 1e-15 * max(1.0, abs(math.erf(r.x))) + 2e-16
+
+
+def test_planning_stays_in_generated_code(spark):
+    """No stage falls back because its code has grown too large."""
+    frame = spark.range(5).selectExpr("0.4D + id / 100D as a", "0.3D + id * 0D as b", "id * 1000 as n")
+    planned = frame.select(power(F.col("a"), F.col("b"), F.col("n")).alias("p"), sample_size(F.col("a"), F.col("b"), F.lit(0.84)).alias("n"))
+    stages = planned._jdf.queryExecution().debug().codegenToSeq()
+    sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    assert sizes and all(0 < size < 8000 for size in sizes)
+
+
 # Published planning figures for a control rate of 0.64808 with 31,406 customers per arm.
 @pytest.mark.parametrize("reduction,reach,rows", [(0.01, 0.39627, 85_499), (0.02, 0.923, None), (0.03, 0.999, None)])
 def test_published_power(spark, reduction, reach, rows):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pytest
 
 import __spark_entry__ as entry
-from holdfast.operators import clean, customer_month, lifecycle
+from holdfast.operators import clean, customer_month, lifecycle, save
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -65,6 +67,27 @@ def test_customer_layers_meet_without_a_shuffle(spark, engine, name):
     assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
+def test_ranking_offers_does_not_sort_wide_rows(spark, engine):
+    engine.table("saves")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(save.customer_save_worthiness_scores(
+            engine.store, save.from_lifecycle(engine.table("lifecycle")), engine.p, engine.buckets
+        ))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "rangepartitioning" not in plan and "recommended_retention_action" in plan
+    lines = plan.splitlines()
+    for at, line in enumerate(lines):
+        if "Exchange" in line:  # what lies below it is moved: the ranked numbers, not the wide rows
+            depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+            below = list(itertools.takewhile(
+                lambda x: len(x) - len(x.lstrip(" :+-*()0123456789")) > depth, lines[at + 1:]
+            ))
+            assert below and not any("recommended_retention_action" in x for x in below)
+
+
 def test_raw_payments_are_filtered_in_the_scan(spark, engine):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
