@@ -393,3 +393,21 @@ FROM l_all w, (SELECT * FROM l_action ORDER BY future_churned_clv_proxy DESC LIM
   (SELECT * FROM l_scen WHERE scenario_name = 'Base recovery') s,
   (SELECT * FROM l_budget ORDER BY net_recovery_opportunity_proxy DESC LIMIT 1) b,
   (SELECT * FROM l_prio ORDER BY model_priority_score DESC LIMIT 1) m"""
+
+# Distinct customers of every period, counted from the customer rows themselves.
+_month_date = "strptime(snapshot_month || '-01', '%Y-%m-%d')"
+_periods = [
+    ("month", "snapshot_month"), ("quarter", f"strftime({_month_date}, '%Y') || '-Q' || quarter({_month_date})"),
+    ("year", f"strftime({_month_date}, '%Y')"), ("all", "'All'"),
+    *(("trailing_3_months", f"strftime({_month_date} + INTERVAL {n} MONTH, '%Y-%m')") for n in range(3)),
+]
+CTES["customer_periods"] = "\nUNION ALL ".join(
+    f"SELECT '{kind}' AS kind, {period} AS period, {tier} AS engagement_tier, customer_id FROM cm"
+    for kind, period in _periods for tier in ("engagement_tier", "'All'"))
+Q["cohort_distinct_rollups"] = f"""
+SELECT kind, period, engagement_tier, count(DISTINCT customer_id) AS customers FROM customer_periods
+WHERE kind <> 'trailing_3_months' OR period IN (SELECT snapshot_month FROM cm) GROUP BY 1, 2, 3
+UNION ALL
+SELECT 'retained', l.snapshot_month, 'All', count(DISTINCT l.customer_id)
+FROM cm l JOIN cm e ON e.customer_id = l.customer_id
+  AND strftime(strptime(e.snapshot_month || '-01', '%Y-%m-%d') + INTERVAL 1 MONTH, '%Y-%m') = l.snapshot_month GROUP BY 2"""

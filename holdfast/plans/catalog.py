@@ -105,6 +105,7 @@ COHORT: dict[str, Query] = {
     "cohort_customer_first_month": lambda e: cohort.customer_first_month(e.table("customer_month")),
     "cohort_cohort_sizes": lambda e: cohort.cohort_sizes(e.table("customer_month")),
     "cohort_cohort_retention_long": lambda e: e.cohort_long,
+    "cohort_distinct_rollups": lambda e: e.distinct_rollups,
     "cohort_cohort_retention_matrix": lambda e: cohort.cohort_retention_matrix(e.table("cohort_long")),
     "cohort_engagement_tier_churn_revenue": lambda e: e.cohort_by_engagement,
     "cohort_revenue_tier_churn_revenue": lambda e: cohort.revenue_tier_churn_revenue(e.table("snapshot")),

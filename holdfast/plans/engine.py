@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from holdfast.config import REFERENCE, Profile
 from holdfast.operators import (
-    abtest, bi, checks, churn_data, clean, clv, cohort, customer_month, evaluate, leakage, lifecycle,
+    abtest, bi, bitmaps, checks, churn_data, clean, clv, cohort, customer_month, evaluate, leakage, lifecycle,
     roi, save, training, validation,
 )
 from holdfast.operators.ranking import NumberedRows
@@ -36,7 +36,7 @@ PUBLISHED_LAYERS: dict[str, list[str] | None] = {
 
 
 #: Layers with one customer's rows in one bucket, so snapshot, scores and lifecycle meet without a shuffle.
-BUCKETED = frozenset({"labels", "members", "latest_transaction", "customer_month", "snapshot", "clv", "scored", "lifecycle", "saves"})
+BUCKETED = frozenset({"labels", "customer_numbers", "members", "latest_transaction", "customer_month", "snapshot", "clv", "scored", "lifecycle", "saves"})
 BUCKET_CUSTOMERS = 200_000
 LEAST_BUCKETS, MOST_BUCKETS = 8, 20_000
 
@@ -154,6 +154,18 @@ class RetentionEngine:
     def cohort_long(self) -> DataFrame:
         return cohort.cohort_retention_long(self.table("customer_month"))
 
+    @cached_property
+    def customer_numbers(self) -> DataFrame:
+        return self.by_customer(bitmaps.customer_numbers(self.store, self.table("labels")))
+
+    @cached_property
+    def customer_bitmaps(self) -> DataFrame:
+        return bitmaps.monthly_bitmaps(self.table("customer_month"), self.table("customer_numbers"), "engagement_tier")
+
+    @cached_property
+    def distinct_rollups(self) -> DataFrame:
+        return bitmaps.distinct_rollups(self.table("customer_bitmaps"), "engagement_tier")
+
     @cached_property
     def cohort_by_engagement(self) -> DataFrame:
         return cohort.engagement_tier_churn_revenue(self.table("snapshot"))
