@@ -93,7 +93,9 @@ def test_empty_table(docs_of, store):
     assert neardup.op7_minmax_near_dedup(store, docs_of([(1, None)])).collect()[0][:] == (1, 0, 1, True)
 
 
-def test_components_of_paths_and_stars(spark, store):
+@pytest.mark.parametrize("part_links", [7, 1_000_000])
+def test_components_of_paths_and_stars(spark, store, monkeypatch, part_links):
+    monkeypatch.setattr("holdfast.llm.components.PART_LINKS", part_links)
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 200), (300, 301), (301, 300)]
-    got = dict(components(store, spark.createDataFrame(links, "a long, b long")).collect())
+    got = dict(components(store, spark.createDataFrame(links, "a long, b long").repartition(20)).collect())
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 300: 300, 301: 300}
