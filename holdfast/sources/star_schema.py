@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.functions.columns import lookup
+from holdfast.functions.columns import large_side, lookup
 from holdfast.sources.raw import RawTables
 
 CUTOFF = "2000-08-01"
@@ -38,7 +38,7 @@ class StarSchema:
             F.lit(0).alias("seen")
         )
         customers = self._read("customer").select("c_custkey")
-        return customers.join(returning, F.col("c_custkey") == F.col("o_custkey"), "left").select(
+        return customers.join(large_side(returning), F.col("c_custkey") == F.col("o_custkey"), "left").select(
             F.col("c_custkey").cast("string").alias("customer_id"),
             F.coalesce("seen", F.lit(1)).alias("is_churn"),
         )
@@ -47,7 +47,7 @@ class StarSchema:
         first = self._read("orders").filter(F.col("o_orderdate") < CUTOFF).groupBy("o_custkey").agg(
             F.to_date(F.min("o_orderdate")).alias("first_order")
         )
-        c = self._read("customer").join(first, F.col("c_custkey") == F.col("o_custkey"), "left")
+        c = self._read("customer").join(large_side(first), F.col("c_custkey") == F.col("o_custkey"), "left")
         gender = F.when(F.col("c_custkey") % 3 == 0, "male").when(F.col("c_custkey") % 3 == 1, "female")
         return c.select(
             F.col("c_custkey").cast("string").alias("customer_id"),
@@ -67,7 +67,7 @@ class StarSchema:
         o = self._read("orders").filter(F.col("o_orderdate") < CUTOFF)
         days = F.when(F.col("o_orderkey") % 50 == 0, 0).otherwise(30 * (1 + F.col("o_orderkey") % 3)).cast("int")
         day = F.to_date("o_orderdate")
-        return o.join(paid, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+        return o.join(large_side(paid), F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
             F.col("o_custkey").cast("string").alias("customer_id"),
             (1 + F.col("o_orderkey") % 5).cast("int").alias("payment_method_id"),
             days.alias("payment_plan_days"),

@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from holdfast.operators import clean, customer_month, lifecycle, save
+from holdfast.plans.engine import RetentionEngine
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -116,3 +117,13 @@ def test_cohort_cells_use_no_join_on_customers(engine):
 
 def test_shared_folder_comes_from_the_session(spark, engine):
     assert engine.store.root.startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+
+
+@pytest.mark.parametrize("name", ["members", "transactions", "logs_monthly", "customer_month", "snapshot", "lifecycle", "saves"])
+def test_customers_are_not_broadcast(engine, name):
+    """Files below the threshold of broadcasts can be a table far larger than the driver."""
+    fresh = RetentionEngine(engine.spark, engine.raw, engine.p, engine.store)
+    plan = _plan(getattr(fresh, name))
+    # The words of the label filter are bounded.
+    sides = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "_word" not in line and "_part" not in line]
+    assert "SortMergeJoin" in plan and not sides
