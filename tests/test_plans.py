@@ -120,8 +120,9 @@ def test_shared_folder_comes_from_the_session(spark, engine):
 
 
 @pytest.mark.parametrize("name", ["members", "transactions", "logs_monthly", "customer_month", "snapshot", "lifecycle", "saves"])
-def test_customers_are_not_broadcast(engine, name):
+def test_customers_are_not_broadcast(engine, monkeypatch, name):
     """Files below the threshold of broadcasts can be a table far larger than the driver."""
+    monkeypatch.setattr(clean, "MOST_LISTED", 0)
     fresh = RetentionEngine(engine.spark, engine.raw, engine.p, engine.store)
     plan = _plan(getattr(fresh, name))
     # The words of the label filter are bounded.
